@@ -4,19 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import quality_rules
+from glossa.llm import bpe, quality_rules
 from glossa.llm.common import table
 
 
+#: Vocabulary files; a parameter of the operators.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), BYTE_BPE, keep=["doc_id"])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = quality_rules.apply_rules(table(spark, sf_dir, "documents"), host="source", text="text", keep=["doc_id"])
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules,)}
+    return {f.__name__: f for f in (op1_bpe, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
