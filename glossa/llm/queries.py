@@ -6,26 +6,35 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glossa.llm import bpe, quality_rules
+from glossa.llm import bpe, quality_rules, token_counts
 from glossa.llm.common import table
 
 
 #: Vocabulary files; a parameter of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+TOKEN_LIMIT = 4096
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), BYTE_BPE, keep=["doc_id"])
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = token_counts.token_counts(docs, PIECE_BPE, keep=["doc_id", "n_bytes"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = quality_rules.apply_rules(table(spark, sf_dir, "documents"), host="source", text="text", keep=["doc_id"])
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op3_token_counts, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
