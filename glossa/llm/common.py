@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The white space that separates words in every operator here.
@@ -51,9 +53,7 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """batch in parts whose strings in column take about limit bytes at most (a single longer row stays whole)."""
-    import numpy as np
-
-    sizes = np.array(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+    sizes = np.array(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     part = np.cumsum(sizes) // limit
     starts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
     for a, b in zip(starts, starts[1:], strict=False):
