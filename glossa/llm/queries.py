@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bpe, quality_rules, token_counts
+from glossa.llm import bpe, chat_format, quality_rules, token_counts
 from glossa.llm.common import table
 
 
@@ -33,8 +33,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
+    return chat_format.format_digests(told.unionByName(own))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_token_counts, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op3_token_counts, op5_quality_rules, op7_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
