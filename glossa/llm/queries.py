@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bpe, chat_format, quality_rules, token_counts
+from glossa.llm import bpe, chat_format, mixing, quality_rules, token_counts
 from glossa.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), BYTE_BPE, keep=["doc_id"])
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = token_counts.token_counts(docs, PIECE_BPE, keep=["doc_id", "n_bytes"])
@@ -40,7 +44,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_token_counts, op5_quality_rules, op7_chat_format)}
+    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_token_counts, op5_quality_rules, op7_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
