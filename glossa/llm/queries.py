@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bpe, chat_format, mixing, quality_rules, token_counts
+from glossa.llm import bpe, chat_format, language_id, mixing, quality_rules, token_counts
 from glossa.llm.common import table
 
 
@@ -32,6 +32,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(language_id.held_out(), F.lit(False))
+    bundles = language_id.train(docs.where(~held))
+    return language_id.predict(docs.withColumn("held_out", held), bundles, keep=["doc_id", "held_out"])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = quality_rules.apply_rules(table(spark, sf_dir, "documents"), host="source", text="text", keep=["doc_id"])
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -44,7 +51,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_token_counts, op5_quality_rules, op7_chat_format)}
+    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_token_counts, op4_language_id, op5_quality_rules, op7_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
