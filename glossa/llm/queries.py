@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bpe, chat_format, language_id, mixing, quality_rules, token_counts
+from glossa.llm import bpe, chat_format, language_id, mixing, pu_quality, quality_rules, token_counts
 from glossa.llm.common import table
 
 
@@ -50,8 +50,15 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(told.unionByName(own))
 
 
+def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(language_id.held_out(), F.lit(False))
+    model, _ = pu_quality.train(docs.where(~held), table(spark, sf_dir, "labels"))
+    return pu_quality.score(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_token_counts, op4_language_id, op5_quality_rules, op7_chat_format)}
+    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_token_counts, op4_language_id, op5_quality_rules, op7_chat_format, op10_pu_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
