@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bpe, chat_format, language_id, mixing, pu_quality, quality_rules, token_counts, topk_search
+from glossa.llm import bpe, chat_format, jaccard_join, language_id, mixing, pu_quality, quality_rules, token_counts, topk_search
 from glossa.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(told.unionByName(own))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -62,7 +66,7 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_token_counts, op4_language_id, op5_quality_rules, op7_chat_format, op9_topk_search, op10_pu_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_token_counts, op4_language_id, op5_quality_rules, op7_chat_format, op8_jaccard_join, op9_topk_search, op10_pu_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
