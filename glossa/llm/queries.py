@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bpe, chat_format, jaccard_join, language_id, mixing, pu_quality, quality_rules, token_counts, topk_search
+from glossa.llm import bpe, chat_format, html_extract, jaccard_join, language_id, mixing, pu_quality, quality_rules, token_counts, topk_search
 from glossa.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
@@ -66,7 +70,7 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_token_counts, op4_language_id, op5_quality_rules, op7_chat_format, op8_jaccard_join, op9_topk_search, op10_pu_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_token_counts, op4_language_id, op5_quality_rules, op6_html_extract, op7_chat_format, op8_jaccard_join, op9_topk_search, op10_pu_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
