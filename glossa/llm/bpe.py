@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import by_batch, slices
 
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: The public word pattern of this vocabulary family (fixed value).
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
