@@ -20,11 +20,11 @@ MAX_PHRASE, PHRASE_AHEAD = 70, 8
 
 
 def trim_wide(s: Text) -> Column:
-    return F.regexp_replace(_c(s), f"^[{WIDE_SPACE}]+|[{WIDE_SPACE}]+$", "")
+    return F.regexp_replace(_c(s), f"^[{WIDE_SPACE}]+|[{WIDE_SPACE}]+\\z", "")
 
 
 def _pron(inner: Column) -> Column:
-    bare = F.regexp_replace(clean(inner), f"^\\[[{WIDE_SPACE}]*|[{WIDE_SPACE}]*\\]$", "")
+    bare = F.regexp_replace(clean(inner), f"^\\[[{WIDE_SPACE}]*|[{WIDE_SPACE}]*\\]\\z", "")
     return trim_wide(bare)
 
 
@@ -109,7 +109,7 @@ def share_text(word: Text, pron: Text, body: Text, credit: str, limit: int | Non
     """SNK10: headword, pronunciation, text and credit; beyond limit cut at a word's border."""
     text = meaning_text(body)
     if limit is not None:
-        text = F.when(F.length(text) > limit, F.concat(F.regexp_replace(F.substring(text, 1, limit), f"[{WIDE_SPACE}]+[^{WIDE_SPACE}]*$", ""), F.lit(" …"))).otherwise(text)
+        text = F.when(F.length(text) > limit, F.concat(F.regexp_replace(F.substring(text, 1, limit), f"[{WIDE_SPACE}]+[^{WIDE_SPACE}]*\\z", ""), F.lit(" …"))).otherwise(text)
     said = F.when(F.coalesce(_c(pron), F.lit("")) != "", F.concat(F.lit(" ["), _c(pron), F.lit("]"))).otherwise("")
     return F.concat(_c(word), said, F.lit("\n\n"), text, F.lit(f"\n\n{credit}"))
 
@@ -123,7 +123,7 @@ def render_inline(s: Text) -> Column:
     return F.replace(s, F.lit("\u0004"), F.lit('<span class="sub">♦</span>'))
 
 
-CITE_LINE = f"^\\x02[^\\x03]*\\x03[{WIDE_SPACE}.]*$"
+CITE_LINE = f"^\\x02[^\\x03]*\\x03[{WIDE_SPACE}.]*\\z"
 VERSE_LINES, VERSE_CHARS = 8, 140
 
 
@@ -139,7 +139,7 @@ def render_meaning(body: Text) -> Column:
     verse. Groups of verse lines take the citation below them.
     """
     lines = body_lines(body)
-    stops = lambda x: x.rlike(CITE_LINE) | F.startswith(x, F.lit("\u0001")) | F.contains(x, F.lit("\u0004")) | x.rlike(f"[:：][{WIDE_SPACE}]*$") | (F.length(x) > VERSE_CHARS)
+    stops = lambda x: x.rlike(CITE_LINE) | F.startswith(x, F.lit("\u0001")) | F.contains(x, F.lit("\u0004")) | x.rlike(f"[:：][{WIDE_SPACE}]*\\z") | (F.length(x) > VERSE_CHARS)
     kinds = F.transform(lines, lambda x: F.struct(x.alias("x"), x.rlike(CITE_LINE).alias("cite"), stops(x).alias("stop")))
     start = F.struct(F.lit(VERSE_LINES + 1).alias("since"), F.array().cast("array<struct<x:string,cite:boolean,verse:boolean>>").alias("out"))
 

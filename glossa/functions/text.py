@@ -126,22 +126,19 @@ def persian_number(n: Text) -> Column:
     return F.translate(F.format_number(_c(n), 0), "0123456789,", PERSIAN_DIGITS + "\u066c")
 
 
-def words_with_offsets(s: Text) -> Column:
-    """The words of running text in order, with the offset at which each begins."""
-    s = _c(s)
-    words = F.regexp_extract_all(s, F.lit(f"([^{WORD_ENDS}]+)"), F.lit(1))
-    gaps = F.transform(F.split(s, f"[^{WORD_ENDS}]+", -1), lambda x: F.length(x))
-    zipped = F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<w:string,at:int>>").alias("out"))
-    step = lambda a, x: F.struct((a["at"] + x["g"] + F.length(x["w"])).alias("at"), F.array_append(a["out"], F.struct(x["w"].alias("w"), (a["at"] + x["g"]).alias("at"))).alias("out"))
-    return F.aggregate(zipped, start, step, lambda a: a["out"])
-
-
 def find_term(s: Text, terms: Column) -> Column:
     """TXT02: the offset of the first word that is a term, else of the first that starts with one, else -1."""
-    tested = F.transform(words_with_offsets(s), lambda x: F.struct((F.lit(2) - term_test(x["w"], terms)).alias("k"), x["at"].alias("at")))
-    best = F.array_min(F.filter(tested, lambda x: x["k"] < 2))
-    return F.coalesce(best["at"], F.lit(-1))
+
+    def place(x: Column) -> Column:
+        tests = F.transform(x["w"], lambda w: term_test(w, terms))
+        i = F.when(F.array_contains(tests, 2), F.array_position(tests, 2)).otherwise(F.array_position(tests, 1)).cast("int")
+        size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, y: a + F.length(y))
+        return F.when(i > 0, size(x["g"], i) + size(x["w"], i - 1)).otherwise(-1)
+
+    s = _c(s)
+    words = F.regexp_extract_all(s, F.lit(f"([^{WORD_ENDS}]+)"), F.lit(1))
+    gaps = F.split(s, f"[^{WORD_ENDS}]+", -1)
+    return F.when(F.size(terms) == 0, -1).otherwise(F.element_at(F.transform(F.array(F.struct(words.alias("w"), gaps.alias("g"))), place), 1))
 
 
 def snippet(text: Text, terms: Column) -> Column:
@@ -152,7 +149,7 @@ def snippet(text: Text, terms: Column) -> Column:
         head = F.substring(t, F.lit(1), at - 40 + 1)
         begin = F.when(F.locate(" ", F.reverse(head)) > 0, F.length(head) - F.locate(" ", F.reverse(head)) + 1).otherwise(0)
         s = F.when(at <= 40, F.substring(t, 1, 160)).otherwise(F.concat(F.lit("\u2026 "), F.substring(t, begin + 1, F.lit(160))))
-        shorter = F.concat(F.regexp_replace(s, f"[{WIDE_SPACE}]+[^{WIDE_SPACE}]*$", ""), F.lit(" \u2026"))
+        shorter = F.concat(F.regexp_replace(s, f"[{WIDE_SPACE}]+[^{WIDE_SPACE}]*\\z", ""), F.lit(" \u2026"))
         return F.when(F.length(s) < F.length(t), shorter).otherwise(s)
 
     return F.element_at(F.transform(F.array(F.struct(text.alias("t"), find_term(text, terms).alias("at"))), lambda x: cut(x["t"], x["at"])), 1)

@@ -58,8 +58,8 @@ def lists_containing(member_rows: DataFrame, items: DataFrame) -> DataFrame:
 def share_list(member_rows: DataFrame, words: DataFrame, title: str, credit: str) -> DataFrame:
     """STA07: user_id, list_id, text: a title, a bullet for each item, newest first, and the credit."""
     rows = member_rows.join(words, "item_id")
-    order = F.struct((-F.unix_micros("added_at")).alias("t"), "item_id", "word")
-    items = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.concat(F.lit("• "), x["word"])), "\n")
+    order = F.struct("added_at", (-F.col("item_id")).alias("i"), "word")
+    items = F.array_join(F.transform(F.sort_array(F.collect_list(order), asc=False), lambda x: F.concat(F.lit("• "), x["word"])), "\n")
     return rows.groupBy("user_id", "list_id").agg(F.concat(F.lit(f"{title}\n\n"), items, F.lit(f"\n\n{credit}")).alias("text"))
 
 
