@@ -85,9 +85,11 @@ class Encoder:
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the trigrams' vectors (whole numbers, exact in doubles)."""
         out = np.zeros(self.dim)
+        kind = np.float32 if counts.sum() < 1 << 24 else np.float64  # either is exact
         for i in range(0, len(keys), 20_000):
             part = slice(i, i + 20_000)
-            out += counts[part].astype(np.float32) @ self.vectors[self.rows(keys[part])].astype(np.float32)
+            rows = self.rows(keys[part])  # may make the table anew
+            out += counts[part].astype(kind) @ self.vectors[rows].astype(kind)
         return out
 
 
@@ -114,10 +116,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
                     keys = np.concatenate([k for k, _ in each])
                     distinct, back = np.unique(keys, return_inverse=True)
                     counts = np.bincount(back, weights=np.concatenate([c for _, c in each]), minlength=len(distinct))
-                    vector = np.zeros(enc.dim)
-                    for i in range(0, len(distinct), 20_000):
-                        vector += counts[i : i + 20_000] @ enc.vectors[enc.rows(distinct[i : i + 20_000])].astype(np.float64)
-                    total[g] = total.get(g, 0) + vector
+                    total[g] = total.get(g, 0) + enc.bundle(distinct, counts)
         for g, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(v)), pa.array(np.arange(len(v)), pa.int32()), pa.array(v.astype(np.int64))], names=["g", "i", "v"])
 
