@@ -2,10 +2,12 @@
 
 Method: universe partition and pigeonhole. Sets lie in size bands such that linked sets are in one band or in two
 neighbouring ones; each pair of neighbouring bands is a group. In a group of sets of up to r tokens, linked sets
-differ in at most H = 2r (100 - p) / (100 + p) tokens. The tokens are hashed into segments. If E + 1 more than H
-segments are told apart, linked sets agree in at least E + 1 of them; a set with at most E empty segments therefore
-needs no entry for those. A segment can also be indexed with its one-deletion neighbourhood, which counts for two.
-A cost model chooses for each group how many segments of either kind there are (`allocate`).
+differ in at most H = 2r (100 - p) / (100 + p) tokens. The tokens are hashed into segments. With H + 1 + E segments
+linked sets agree in at least E + 1 of them; a set with at most E small segments (up to c tokens, which many
+unlinked sets share) therefore needs no entry for those, and a set with more has entries for all. Agreeing segments
+are equal, so both sets leave out the same ones. A segment can also be indexed with its one-deletion neighbourhood,
+which counts for two. A cost model chooses for each group how many segments of either kind there are, E and c
+(`allocate`).
 
 Equal entries join sets into candidate clusters. Entries are combined in each batch before the shuffle (a batch sends
 one row for each entry, and links to it), so a group of copies of any size is a few rows. Clusters are verified
@@ -29,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import slices, written
+from glossa.llm.common import release, slices, written
 from glossa.llm.components import components
 
 #: Sets in a verifying block, and tokens.
 BLOCK_SETS, BLOCK_TOKENS = 256, 500_000
-#: The cost of a false candidate in entries, and the share of tokens that unlinked sets with common passages share.
-FALSE_COST, SHARED = 50.0, 0.5
+#: The cost of a false candidate's token, in entries (moving it, times the share of sets that have a common passage), and
+#: the tokens that such sets share.
+FALSE_COST, PASSAGE = 0.15, 50
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -112,27 +115,51 @@ def bands(percent: int) -> np.ndarray:
     return np.array(tops)
 
 
+def _up_to(c: int, k: float) -> float:
+    """The chance of c tokens at most in a segment of k on average."""
+    return math.exp(-k) * sum(k**j / math.factorial(j) for j in range(c + 1))
+
+
 @lru_cache(maxsize=None)
-def allocate(group: int, percent: int) -> tuple[int, int, int]:
-    """For the group of bands group - 1 and group: segments indexed as they are, segments with deletions, and E.
+def allocate(group: int, percent: int) -> tuple[int, int, int, int]:
+    """For the group of bands group - 1 and group: segments indexed as they are, segments with deletions, the number of
+    small segments that a set may leave out, and the most tokens of a small segment.
 
-    The cheapest in entries plus expected false candidates.
+    The cheapest in entries plus the cost of the false candidates that common passages make, over the group's sizes.
     """
-    top = int(bands(percent)[group])
+    tops = bands(percent)
+    top, low = int(tops[group]), int(tops[group - 2]) + 1 if group > 1 else 1
     need = 2 * top * (100 - percent) // (100 + percent) + 1
-    size = top * percent / 100
-    best = None
-    for deletions in sorted({0, need // 4, need // 2, (need + 1) // 2}):
-        plain = max(need - 2 * deletions, 0)
-        m = plain + deletions
-        empty = m * math.exp(-size / m)
-        extra = 0 if deletions else math.ceil(empty + 3 * math.sqrt(empty)) if empty > 1e-3 else 0
-        k = size / (m + extra)
-        one = SHARED**k
-        cost = plain + extra + deletions * (1 + k) + FALSE_COST * (plain * one + deletions * (one + k * SHARED ** max(k - 1, 0) * (1 - SHARED)))
-        if best is None or cost < best[0]:
-            best = cost, plain + extra, deletions, extra
-    return best[1:]
+    sizes = [low, (low + top) / 2, top]
+    found = []
+    for deletions in sorted({need // 2, (need + 1) // 2} - {0}):
+        m = max(need - 2 * deletions, 0) + deletions
+        cost = 0.0
+        for size in sizes:
+            k = size / m
+            x = min(PASSAGE / size, 0.5)
+            false = (m - deletions) * x**k + deletions * (x**k + k * x ** max(k - 1, 0) * (1 - x))
+            cost += m + deletions * k + FALSE_COST * size * false
+        found.append((cost, m - deletions, deletions, 0, -1))
+    for small, base in [(-1, top), *((c, size) for c in range(4) for size in sizes)]:
+        extra = 0
+        for _ in range(30):
+            few = (need + extra) * _up_to(small, base / (need + extra)) if small >= 0 else 0.0
+            extra = math.ceil(few + 2 * math.sqrt(few))
+            if extra > need:
+                break
+        if extra > need:
+            continue
+        m, cost = need + extra, 0.0
+        for size in sizes:
+            k = size / m
+            few = m * _up_to(small, k) if small >= 0 else 0.0
+            from_ = small + 1 if few <= extra else 0
+            x = min(PASSAGE / size, 0.5) * k
+            false = m * math.exp(-k) * (math.exp(x) - sum(x**j / math.factorial(j) for j in range(from_)))
+            cost += m - (few if few <= extra else 0) + FALSE_COST * size * false
+        found.append((cost, m, 0, extra, small))
+    return min(found)[1:]
 
 
 def node_of(keys: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -142,19 +169,22 @@ def node_of(keys: np.ndarray, groups: np.ndarray) -> np.ndarray:
 
 def entries(tokens: np.ndarray, group: int, percent: int) -> np.ndarray:
     """The index entries of a set in a group."""
-    plain, deletions, extra = allocate(group, percent)
+    plain, deletions, extra, small = allocate(group, percent)
     m = plain + deletions
     segment = (mixed(tokens + np.uint64(group)) % np.uint64(m)).astype(np.int64)
     order = np.argsort(segment, kind="stable")
     segment, values = segment[order], mixed(tokens[order] ^ _ODD[6])
     first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
     sums, which = np.add.reduceat(values, first), segment[first]
-    out = [(sums, which)]
-    if m - len(first) > extra:  # too many are empty: those count too
+    each = np.diff(np.append(first, len(segment)))
+    few = each <= small
+    gone = np.zeros(0, dtype=np.int64)
+    if m - len(first) + np.count_nonzero(few) > extra:  # too many are small: those count too, the empty ones included
         gone = np.setdiff1d(np.arange(m), which)
-        out.append((np.zeros(len(gone), dtype=np.uint64), gone))
+        few[:] = False
+    out = [(sums[~few], which[~few]), (np.zeros(len(gone), dtype=np.uint64), gone)]
     if deletions:
-        per_token = np.repeat(sums, np.diff(np.append(first, len(segment))))
+        per_token = np.repeat(sums, each)
         at = segment < deletions
         out.append(((per_token - values)[at], segment[at]))
     total = np.concatenate([x for x, _ in out])
@@ -189,12 +219,12 @@ def candidate_links(docs: DataFrame, text: str, n: int, percent: int) -> DataFra
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "x", 8 << 20):
+            for part in slices(batch, "x", 4 << 20):
                 sigs, nodes, counts = [], [], []
                 for tokens in token_sets(part.column("x"), n):
                     if not len(tokens) or (key := set_key(tokens)) in seen:
                         continue
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(key)
                     band = int(np.searchsorted(bands(percent), len(tokens)))
@@ -306,7 +336,9 @@ def _verified(rows: DataFrame, percent: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and n_links (rows linked to it, copies included)."""
     keys = written(set_keys(docs, doc_id, text, n))
-    clusters = written(components(candidate_links(docs.where(F.col(doc_id).isNotNull()), text, n, percent), "a", "b"))
+    candidates = written(candidate_links(docs.where(F.col(doc_id).isNotNull()), text, n, percent))
+    release(docs.sparkSession)
+    clusters = written(components(candidates, "a", "b"))
     sets = written(keys.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,10 +354,11 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     # blocks of like sizes; the step is a quarter of the linked sizes' ratio
     step = F.floor(F.log("size") * (4 / math.log(100 / percent))).cast("int")
     placed = written(placed.withColumn("step", step))
-    cells = placed.groupBy("cluster", "step").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens"))
+    cells = placed.groupBy("cluster", "step").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens"), F.max((F.col("band") == F.col("group")).cast("int")).alias("upper"))
     cells = written(cells.withColumn("salts", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int")))
-    whole = cells.groupBy("cluster").agg(F.sum("sets").alias("all_sets"), F.sum("tokens").alias("all_tokens"))
+    whole = cells.groupBy("cluster").agg(F.sum("sets").alias("all_sets"), F.sum("tokens").alias("all_tokens"), F.max("upper").alias("any_upper")).where("any_upper = 1")
     small = (F.col("all_sets") <= BLOCK_SETS) & (F.col("all_tokens") <= BLOCK_TOKENS)
+    # pairs count in the group of the larger set's band: a cluster without such a set has none of its own
     cells = written(cells.join(whole, "cluster").select("cluster", "step", "salts", small.alias("small")))
     blocks = cells.where(~F.col("small")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("cluster", "step", "salt")
     other = blocks.select("cluster", F.col("step").alias("step2"), F.col("salt").alias("salt2"))
@@ -337,7 +370,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     dealt = placed.join(cells, ["cluster", "step"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
     tasks = dealt.where("small").select("rep", "copies", "band", "group", F.col("cluster").alias("task"), F.lit(0).alias("side"))
     tasks = tasks.unionByName(dealt.where("not small").join(meets, ["cluster", "step", "salt"]).select("rep", "copies", "band", "group", "task", "side"))
-    wanted = written(placed.select(F.col("rep").alias("doc_id")).distinct())
+    tasks = written(tasks)
+    wanted = written(tasks.select(F.col("rep").alias("doc_id")).distinct())
 
     def with_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,6 +382,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("x")).join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "x")
     tokens = written(texts.mapInArrow(with_tokens, "rep long, tokens binary").withColumn("k", F.length("tokens")).groupBy("rep").agg(F.max_by("tokens", "k").alias("tokens")))
     found = written(_verified(tasks.join(tokens, "rep"), percent))
+    release(docs.sparkSession)
     linked = components(found.where("links = 0"), "a", "b").select(F.col("node").alias("rep"), "component")
     degrees = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     classes = written(sets.join(linked, "rep", "left").join(degrees, "rep", "left").select("k", "n_shingles", F.coalesce("component", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
