@@ -37,5 +37,6 @@ def test_query(spark, duck, name):
         return
     other = duck.sql(catalog.oracle_sql()[name])
     assert sorted(other.columns) == cols
-    theirs = sorted((tuple(plain(v) for v in r) for r in duck.sql(f"SELECT {', '.join(cols)} FROM ({catalog.oracle_sql()[name]})").fetchall()), key=repr)
+    names = ", ".join(f'"{c}"' for c in cols)
+    theirs = sorted((tuple(plain(v) for v in r) for r in duck.sql(f"SELECT {names} FROM ({catalog.oracle_sql()[name]})").fetchall()), key=repr)
     assert mine == theirs
