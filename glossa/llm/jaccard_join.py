@@ -3,9 +3,9 @@
 Method: universe partition and pigeonhole. Sets lie in size bands such that linked sets are in one band or in two
 neighbouring ones; each pair of neighbouring bands is a group. In a group of sets of up to r tokens, linked sets
 differ in at most H = 2r (100 - p) / (100 + p) tokens. The tokens are hashed into segments. With H + 1 + E segments
-linked sets agree in at least E + 1 of them; a set with at most E small segments (up to c tokens, which many
-unlinked sets share) therefore needs no entry for those, and a set with more has entries for all. Agreeing segments
-are equal, so both sets leave out the same ones. A segment can also be indexed with its one-deletion neighbourhood,
+linked sets agree in at least E + 1 of them; a set with at most E segments that many unlinked sets share (up to c
+tokens, or none but common tokens) therefore needs no entry for those, and a set with more has entries for all.
+Agreeing segments are equal, so both sets leave out the same ones. A segment can also be indexed with its one-deletion neighbourhood,
 which counts for two. A cost model chooses for each group how many segments of either kind there are, E and c
 (`allocate`).
 
@@ -35,7 +35,9 @@ from glossa.llm.common import release, slices, written
 from glossa.llm.components import components
 
 #: Sets in a verifying block, and tokens.
-BLOCK_SETS, BLOCK_TOKENS = 256, 500_000
+BLOCK_SETS, BLOCK_TOKENS = 1024, 400_000
+#: Frequent tokens that are sent to every task, at most, and how often each occurs at least.
+COMMON, MIN_COMMON = 1 << 15, 20
 #: The cost of a false candidate's token, in entries (moving it, times the share of sets that have a common passage), and
 #: the tokens that such sets share.
 FALSE_COST, PASSAGE = 0.15, 50
@@ -141,10 +143,18 @@ def allocate(group: int, percent: int) -> tuple[int, int, int, int]:
             false = (m - deletions) * x**k + deletions * (x**k + k * x ** max(k - 1, 0) * (1 - x))
             cost += m + deletions * k + FALSE_COST * size * false
         found.append((cost, m - deletions, deletions, 0, -1))
+
+    def left_out(m: int, size: float, small: int) -> float:
+        """The segments of m that are small or lie within a passage, on average."""
+        k = size / m
+        x = min(PASSAGE / size, 0.5) * k
+        inside = math.exp(-k) * (math.exp(x) - sum(x**j / math.factorial(j) for j in range(small + 1)))
+        return m * (_up_to(small, k) + inside)
+
     for small, base in [(-1, top), *((c, size) for c in range(4) for size in sizes)]:
         extra = 0
         for _ in range(30):
-            few = (need + extra) * _up_to(small, base / (need + extra)) if small >= 0 else 0.0
+            few = left_out(need + extra, base, small) if small >= 0 else 0.0
             extra = math.ceil(few + 2 * math.sqrt(few))
             if extra > need:
                 break
@@ -153,11 +163,10 @@ def allocate(group: int, percent: int) -> tuple[int, int, int, int]:
         m, cost = need + extra, 0.0
         for size in sizes:
             k = size / m
-            few = m * _up_to(small, k) if small >= 0 else 0.0
-            from_ = small + 1 if few <= extra else 0
+            few = left_out(m, size, small) if small >= 0 else 0.0
+            fits = small >= 0 and few <= extra
             x = min(PASSAGE / size, 0.5) * k
-            false = m * math.exp(-k) * (math.exp(x) - sum(x**j / math.factorial(j) for j in range(from_)))
-            cost += m - (few if few <= extra else 0) + FALSE_COST * size * false
+            cost += m - few if fits else m + FALSE_COST * size * m * math.exp(x - k)
         found.append((cost, m, 0, extra, small))
     return min(found)[1:]
 
@@ -167,8 +176,8 @@ def node_of(keys: np.ndarray, groups: np.ndarray) -> np.ndarray:
     return mixed(keys.astype(np.uint64) * _ODD[4] + (groups + 1).astype(np.uint64) * _ODD[5]).astype(np.int64)
 
 
-def entries(tokens: np.ndarray, group: int, percent: int) -> np.ndarray:
-    """The index entries of a set in a group."""
+def entries(tokens: np.ndarray, group: int, percent: int, common: np.ndarray) -> np.ndarray:
+    """The index entries of a set in a group. common: sorted tokens; a segment of nothing else may be left out like a small one."""
     plain, deletions, extra, small = allocate(group, percent)
     m = plain + deletions
     segment = (mixed(tokens + np.uint64(group)) % np.uint64(m)).astype(np.int64)
@@ -178,6 +187,9 @@ def entries(tokens: np.ndarray, group: int, percent: int) -> np.ndarray:
     sums, which = np.add.reduceat(values, first), segment[first]
     each = np.diff(np.append(first, len(segment)))
     few = each <= small
+    if small >= 0 and len(common):
+        at = np.minimum(np.searchsorted(common, tokens[order]), len(common) - 1)
+        few |= np.logical_and.reduceat(common[at] == tokens[order], first)
     gone = np.zeros(0, dtype=np.int64)
     if m - len(first) + np.count_nonzero(few) > extra:  # too many are small: those count too, the empty ones included
         gone = np.setdiff1d(np.arange(m), which)
@@ -203,9 +215,31 @@ def set_keys(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("x")).mapInArrow(run, "doc_id long, n_shingles long, k long")
 
 
+def common_tokens(docs: DataFrame, text: str, n: int) -> np.ndarray:
+    """The COMMON most frequent tokens, of those found at least three times in some batch and MIN_COMMON times in all.
+
+    Any choice gives the same links: it only says which segments are worth an entry.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "x", 4 << 20):
+                sets = [t for t in token_sets(part.column("x"), n) if len(t)]
+                if sets:
+                    token, times = np.unique(np.concatenate(sets), return_counts=True)
+                    often = times >= 3
+                    yield pa.RecordBatch.from_arrays([pa.array(token[often].astype(np.int64)), pa.array(times[often].astype(np.int64))], names=["token", "times"])
+
+    counted = docs.select(F.col(text).alias("x")).where(F.col("x").isNotNull()).mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    top = counted.where(F.col("times") >= MIN_COMMON).orderBy(F.col("times").desc(), "token").limit(COMMON)
+    return np.sort(np.array(top.toArrow().column("token").to_pylist(), dtype=np.int64).astype(np.uint64))
+
+
 def candidate_links(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     """Links a, b between nodes (a set in a group) whose entries meet: each to the first of its entry."""
 
+    common = common_tokens(docs, text, n)
+
     def combined(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One (entry, node) for each entry, and the links of its other nodes to that one."""
         order = np.lexsort((node, sig))
@@ -229,7 +263,7 @@ def candidate_links(docs: DataFrame, text: str, n: int, percent: int) -> DataFra
                     seen.add(key)
                     band = int(np.searchsorted(bands(percent), len(tokens)))
                     for group in (band, band + 1):
-                        e = entries(tokens, group, percent)
+                        e = entries(tokens, group, percent, common)
                         sigs.append(e)
                         nodes.append((key, group))
                         counts.append(len(e))

@@ -56,6 +56,7 @@ def corpus(seed):
 def test_against_all_pairs(spark, monkeypatch, n, percent, small):
     if small:  # many blocks
         monkeypatch.setattr(jj, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jj, "MIN_COMMON", 3)
     rows = corpus(n)
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, k int").repartition(3)
     got = jj.jaccard_join(df, n=n, percent=percent).collect()
@@ -72,15 +73,16 @@ def test_linked_sets_share_an_entry():
                 a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
                 drop = int(rng.integers(0, len(a)))
                 b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, 3 + drop)), dtype=np.uint64)]))
-                common = len(np.intersect1d(a, b))
-                if not len(b) or 100 * common < percent * (len(a) + len(b) - common):
+                both = len(np.intersect1d(a, b))
+                common = np.sort(rng.permutation(np.union1d(a, b))[: int(rng.integers(0, 2 * size))])
+                if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
                     continue
                 bands = [int(np.searchsorted(jj.bands(percent), len(x))) for x in (a, b)]
                 assert abs(bands[0] - bands[1]) <= 1
                 groups = {bands[0], bands[0] + 1} & {bands[1], bands[1] + 1}
                 assert max(bands) in groups
                 g = max(bands)
-                assert len(np.intersect1d(jj.entries(a, g, percent), jj.entries(b, g, percent)))
+                assert len(np.intersect1d(jj.entries(a, g, percent, common), jj.entries(b, g, percent, common)))
 
 
 def test_empty_and_null_ids(spark):
