@@ -31,7 +31,9 @@ _CHUNK = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: The public word pattern of this vocabulary family (fixed value).
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Chunks that a worker keeps.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 200_000
+#: Bytes of text that are split into chunks at once.
+SLICE = 3 << 20
 _NONE = np.iinfo(np.int64).max
 
 
@@ -177,7 +179,7 @@ def _over_texts(df: DataFrame, keep: list[str], column: str, fn, out: str) -> Da
     kinds = ", ".join(f"k{i} {frame.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [fn(part.column("x").to_pylist()) for part in slices(batch, "x")]
+        made = [fn(part.column("x").to_pylist()) for part in slices(batch, "x", SLICE)]
         more = {k: pa.concat_arrays([m[k] for m in made]) for k in made[0]}
         return pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), *more.values()], names=[*(f"k{i}" for i in range(len(keep))), *more])
 

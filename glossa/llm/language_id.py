@@ -30,7 +30,7 @@ UNKNOWN = "und"
 #: Turns differences of cosines into a score.
 SHARPNESS = 40.0
 #: Trigram vectors that a worker keeps.
-KEPT = 60_000
+KEPT = 30_000
 _BITS = 21
 
 
