@@ -127,18 +127,28 @@ def persian_number(n: Text) -> Column:
 
 
 def find_term(s: Text, terms: Column) -> Column:
-    """TXT02: the offset of the first word that is a term, else of the first that starts with one, else -1."""
+    """TXT02: the offset of the first word that is a term, else of the first that starts with one, else -1.
+
+    The text is normalised as a whole, its words parted by a unit separator (one in the text parts words too).
+    """
+
+    def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+        """fn of a value that is computed once, however often fn uses it."""
+        return F.element_at(F.transform(F.array(value), fn), 1)
 
     def place(x: Column) -> Column:
-        tests = F.transform(x["w"], lambda w: term_test(w, terms))
-        i = F.when(F.array_contains(tests, 2), F.array_position(tests, 2)).otherwise(F.array_position(tests, 1)).cast("int")
         size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, y: a + F.length(y))
-        return F.when(i > 0, size(x["g"], i) + size(x["w"], i - 1)).otherwise(-1)
+        exact = F.array_min(F.filter(F.transform(terms, lambda t: F.array_position(x["c"], t)), lambda i: i > 0))
+        starts = F.filter(terms, lambda t: F.length(t) >= MIN_PREFIX)
+        first = F.array_position(F.transform(x["c"], lambda w: F.exists(starts, lambda t: F.startswith(w, t))), True)
+        return once(F.coalesce(exact, first).cast("int"), lambda i: F.when(i > 0, size(x["g"], i) + size(x["w"], i - 1)).otherwise(-1))
 
-    s = _c(s)
+    s = F.replace(_c(s), F.lit("\u001f"), F.lit(" "))
     words = F.regexp_extract_all(s, F.lit(f"([^{WORD_ENDS}]+)"), F.lit(1))
     gaps = F.split(s, f"[^{WORD_ENDS}]+", -1)
-    return F.when(F.size(terms) == 0, -1).otherwise(F.element_at(F.transform(F.array(F.struct(words.alias("w"), gaps.alias("g"))), place), 1))
+    parted = F.regexp_replace(F.regexp_replace(s, f"^[{WORD_ENDS}]+", ""), f"[{WORD_ENDS}]+", "\u001f")
+    compacts = F.split(normalize_compact(F.replace(parted, F.lit(ZWNJ), F.lit(""))), "\u001f", -1)
+    return F.when(F.size(terms) == 0, -1).otherwise(once(F.struct(words.alias("w"), gaps.alias("g"), compacts.alias("c")), place))
 
 
 def snippet(text: Text, terms: Column) -> Column:
