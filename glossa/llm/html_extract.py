@@ -5,15 +5,17 @@ their classes and ids, its presentations are the sequences of child elements see
 seen in it. A node's importance joins the entropy of its presentations with that of its contents, in the base of the
 number of pages that have it: what looks and reads the same on every page is near 0, what differs is near 1. Branches
 of low importance are removed from each page. Branches whose element, role, class or id name them as menus, headers,
-footers, sidebars, notices, adverts, forms or comments are removed whatever their importance. What a page marks as its
-article (or main part) is kept whole but for such branches, also where other pages of the host repeat it.
+footers, sidebars, notices, adverts, forms or comments are removed whatever their importance. This holds inside and
+outside of what a page marks as its article (or main part). The mark only raises importance: whole copies of an article
+are no boilerplate (inside, copies count as one page, and an article of low branches alone is kept), and where the
+host has too few pages to tell, what is marked stays and what is not marked beside it goes.
 
 Only counts of hashes leave the pages: they are aggregated by (host, node, item) with partial sums, so a host with a
 third of all pages is no large group. The hosts' low nodes are joined back to the pages.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; a page without a marked
-article is judged by the tree alone; unclosed elements end with their parents; repeated rows each count; an empty
-table gives an empty result; other columns are not read.
+article is judged by the tree alone; unclosed elements end with their parents; repeated rows each count outside of
+marked articles; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -79,11 +81,11 @@ def _node(parent: int, tag: str, name: str) -> int:
     return _nodes[key]
 
 
-def parse(html: str) -> tuple[list[tuple[int, bool, bool, str]], list[tuple[int, str]]]:
-    """The text blocks (node, dropped by name, in the article, text) and the elements (node, children) of a page."""
+def parse(html: str) -> tuple[list[tuple[int, bool, bool, str]], list[tuple[int, bool, str]]]:
+    """The text blocks (node, dropped by name, in the article, text) and the elements (node, in the article, children) of a page."""
     stack = [_Open("", 0, False, False)]
     blocks: list[tuple[int, bool, bool, str]] = []
-    elements: list[tuple[int, str]] = []
+    elements: list[tuple[int, bool, str]] = []
     buffer: list[tuple[bool, str]] = []
 
     def flush() -> None:
@@ -99,7 +101,7 @@ def parse(html: str) -> tuple[list[tuple[int, bool, bool, str]], list[tuple[int,
         while len(stack) > depth:
             gone = stack.pop()
             if gone.tag in _BLOCK:
-                elements.append((gone.node, " ".join(gone.children)))
+                elements.append((gone.node, gone.main, " ".join(gone.children)))
 
     at, n = 0, len(html)
     for m in _TOKEN.finditer(html):
@@ -169,13 +171,17 @@ def parse(html: str) -> tuple[list[tuple[int, bool, bool, str]], list[tuple[int,
     return blocks, elements
 
 
-def main_text(html: str | None, low: set[int]) -> str:
-    """The text of a page without what its names drop and without the low nodes of its host."""
+def main_text(html: str | None, low: set[int], high: set[int] = frozenset()) -> str:
+    """The text of a page without what its names drop and without the low nodes of its host.
+
+    Beside a marked article only the nodes in high stay, those the host's tree finds important.
+    """
     blocks, _ = parse(html or "")
     open_ = [(node, main, text) for node, drop, main, text in blocks if not drop]
-    if any(main for _, main, _ in open_):
-        return "\n\n".join([text for _, main, text in open_ if main])
-    return "\n\n".join([text for node, _, text in open_ if node not in low])
+    if not any(main for _, main, _ in open_):
+        return "\n\n".join([text for node, _, text in open_ if node not in low])
+    copied = all(node in low for node, main, _ in open_ if main)
+    return "\n\n".join([text for node, main, text in open_ if (copied or node not in low if main else node in high)])
 
 
 def _host(pages: DataFrame, url: str) -> DataFrame:
@@ -184,41 +190,47 @@ def _host(pages: DataFrame, url: str) -> DataFrame:
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """site, node, pages, importance of every node of every host's style tree."""
+    """site, node, outside (of articles), pages, importance of every node of every host's style tree; in articles, pages are different articles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html", 8 << 20):
-                counts: dict[tuple[int, int, int, int], int] = {}
+                counts: dict[tuple[int, int, int, int, int | None], int] = {}
                 for site, html in zip(part.column("site_").to_pylist(), part.column("html").to_pylist(), strict=True):
                     blocks, elements = parse(html or "")
-                    seen = {(site, node, 1, _hash(text)) for node, _, _, text in blocks}
-                    seen |= {(site, node, 0, _hash(children)) for node, children in elements}
-                    seen |= {(site, node, 2, 0) for _, node, _, _ in seen}
+                    article = _hash(*(text for _, drop, main, text in blocks if main and not drop))
+                    seen = {(site, node, 1, _hash(text), article if main else None) for node, _, main, text in blocks}
+                    seen |= {(site, node, 0, _hash(children), article if main else None) for node, main, children in elements}
+                    seen |= {(site, node, 2, 0, copy) for _, node, _, _, copy in seen}
                     for k in seen:
                         counts[k] = counts.get(k, 0) + 1
                 if counts:
                     cols = [*zip(*counts, strict=True), list(counts.values())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["site", "node", "kind", "item", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["site", "node", "kind", "item", "article", "n"])
 
-    items = _host(pages, url).select("site_", F.col(html).alias("html")).mapInArrow(run, "site long, node long, kind int, item long, n long")
-    items = items.groupBy("site", "node", "kind", "item").agg(F.sum("n").alias("n"))
+    items = _host(pages, url).select("site_", F.col(html).alias("html")).mapInArrow(run, "site long, node long, kind int, item long, article long, n long")
+    # copies of an article count once
+    items = items.groupBy("site", "node", "kind", "item", "article").agg(F.sum("n").alias("n"))
+    items = items.groupBy("site", "node", "kind", "item").agg(F.sum(F.when(F.col("article").isNull(), F.col("n")).otherwise(1)).alias("n"), F.bool_or(F.col("article").isNull()).alias("outside"))
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0.0))
     weight = F.col("n") * F.ln("n")
     nodes = items.groupBy("site", "node").agg(
+        F.bool_or("outside").alias("outside"),
         of(2, F.col("n")).cast("long").alias("pages"), of(0, F.col("n")).alias("styles"), of(0, weight).alias("style_log"), of(1, F.col("n")).alias("texts"), of(1, weight).alias("text_log")
     )
     base = F.ln(F.greatest("pages", F.lit(2)))
     presentation = F.when(F.col("styles") > 0, (F.ln("styles") - F.col("style_log") / F.col("styles")) / base).otherwise(0.0)
     content = F.when(F.col("texts") > 0, 1 - F.col("text_log") / F.col("texts") / base).otherwise(0.0)
     importance = F.when(F.col("pages") < 2, 1.0).when(F.col("texts") == 0, presentation).otherwise(PRESENTATION * presentation + (1 - PRESENTATION) * content)
-    return nodes.select("site", "node", "pages", importance.alias("importance"))
+    return nodes.select("site", "node", "outside", "pages", importance.alias("importance"))
 
 
 def extract(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """Columns keep of pages, text and n_chars."""
-    low = style_tree(pages, url, html).where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance))
-    low = written(low.groupBy("site").agg(F.collect_set("node").alias("low")))
+    tree, is_low = style_tree(pages, url, html).where(F.col("pages") >= min_pages), F.col("importance") < min_importance
+    # an aggregate leaves nulls out
+    of = lambda condition, name: F.collect_set(F.when(condition, F.col("node"))).alias(name)
+    low = written(tree.where(is_low | F.col("outside")).groupBy("site").agg(of(is_low, "low"), of(~is_low & F.col("outside"), "high")))
     own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     frame = _host(pages, url).select(*own, "site_", F.col(html).alias("html_")).join(low, F.col("site_") == F.col("site"), "left").drop("site", "site_")
     names = [f"k{i}" for i in range(len(keep))]
@@ -227,7 +239,7 @@ def extract(pages: DataFrame, keep: list[str], url: str = "url", html: str = "ht
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html_", 8 << 20):
-                found = [main_text(h, set(low or ())) for h, low in zip(part.column("html_").to_pylist(), part.column("low").to_pylist(), strict=True)]
+                found = [main_text(h, set(low or ()), set(high or ())) for h, low, high in zip(*(part.column(c).to_pylist() for c in ("html_", "low", "high")), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=[*names, "text", "n_chars"])
 
     return frame.mapInArrow(run, f"{kinds}text string, n_chars long").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})

@@ -46,3 +46,19 @@ def test_importance(spark):
     tree = {r["importance"] for r in he.style_tree(pages(spark)).where("pages = 20").collect()}
     assert min(tree) < 0.1 and max(tree) > 0.7
     assert he.extract(pages(spark).limit(0), ["page_id"]).count() == 0
+
+
+def test_the_tree_judges_inside_and_outside_of_articles(spark):
+    article = "<article><p>text {0} of its own</p><p>more {1}</p><div class=x1><p>the same box in every article</p></div></article>"
+    rows = [(i, f"http://a.org/{i}", article.format(i, i * 7)) for i in range(20)]
+    # a teaser that is an article, beside the text itself
+    rows += [(100 + i, f"http://b.org/{i}", f"<article class=t><p>teaser</p></article><div class=m><p>long own text {i}</p></div><div class=z>same foot</div>") for i in range(20)]
+    # copies of one article, some of others, each with the box
+    rows += [(200 + i, f"http://c.org/{i}", article.format(max(i, 30), max(i, 30))) for i in range(40)]
+    # a host of one page gives the tree no ground
+    rows += [(300, "http://d.org/", article.format(1, 2))]
+    got = {r["page_id"]: r["text"] for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert [got[i] for i in range(20)] == [f"text {i} of its own\n\nmore {i * 7}" for i in range(20)]
+    assert [got[100 + i] for i in range(20)] == [f"teaser\n\nlong own text {i}" for i in range(20)]
+    assert [got[200 + i] for i in range(40)] == [f"text {max(i, 30)} of its own\n\nmore {max(i, 30)}" for i in range(40)]
+    assert got[300] == "text 1 of its own\n\nmore 2\n\nthe same box in every article"
