@@ -133,7 +133,7 @@ _MARKED = """SELECT doc_id, '<span class="hlight">h</span> <font color="DarkGree
 def _marked(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
     html = F.concat(
-        F.lit('<span class="hlight">h</span> <font color="DarkGreen"><b>[ '), F.col("lang"), F.lit("٣ ]</font></b> "), F.replace(F.left("text", F.lit(300)), F.lit("\n"), F.lit("<br>")),
+        F.lit('<span class="hlight">h</span> <font color="DarkGreen"><b>[ '), F.col("lang"), F.lit("٣ ]</font></b> "), F.replace("text", F.lit("\n"), F.lit("<br>")),
         F.lit('<br/><font color="Blue">◄</font> '), F.col("source"), F.lit(' <font color="Red">'), F.col("lang"), F.lit('<br>&amp;x</font>. <font color="HotPink">♦</font> <span class="hlight">phrase '),
         F.col("lang"), F.lit('</span> ؛ end <span class="hlight" dir="rtl">d</span>'),
     )
@@ -178,7 +178,7 @@ def meaning_text(spark: SparkSession, d: str) -> DataFrame:
 )
 def share_text(spark: SparkSession, d: str) -> DataFrame:
     c = _marked(spark, d).select("doc_id", M.convert("html")["body"].alias("b"))
-    return c.select("doc_id", M.share_text(F.lit("w"), F.lit("p"), "b", "— credit", 200).alias("shared"))
+    return c.select("doc_id", M.share_text(F.lit("w"), F.lit("p"), "b", "— credit", 3500).alias("shared"))
 
 
 @registered("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
