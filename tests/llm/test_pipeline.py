@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import random
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
+from glossa.llm import mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +43,22 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_mixed_words_meet_each_sources_target(spark):
+    draw = random.Random(5)
+    rows = [(f"s{s:02}", " ".join(["w"] * max(1, round(draw.lognormvariate(4, 1))))) for s in range(12) for _ in range((10, 50, 200)[s // 3 % 3])]
+    rows = [(i, f"{text} {i}", "en", source, 1) for i, (source, text) in enumerate(rows)]
+    rows += [(None, "equal words of rows without ids", "en", "twins", 1)] * 30 + [(None, "other words", "en", None, 1)] * 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    target = {r["source"]: r["target"] for r in mixing.mix(docs, keep=["source"]).select("source", "target").distinct().collect()}
+    largest, words = Counter(), Counter()
+    for _, text, _, source, _ in rows:
+        largest[source] = max(largest[source], len(text.split()))
+    out = corpus_pipeline.mixing_stage(spark, docs, "").collect()
+    assert {tuple(r) for r in out} <= set(rows)
+    for r in out:
+        words[r["source"]] += len(r["text"].split())
+    assert len(target) == 14
+    off = {s: (words[s], t) for s, t in target.items() if abs(words[s] - t) > largest[s] / 2 + 2}
+    assert not off
