@@ -42,3 +42,12 @@ def test_ends_of_documents_stay(spark, tables):
     assert html[2].count("<p>line ") == 200 and "word last" in html[3]
     shared = {r["doc_id"]: r["shared"] for r in catalog.queries()["share_text"](spark, tables).collect()}
     assert 3490 < len(shared[3]) < 3540 and shared[0].count("short") == 1
+
+
+def test_lists_of_every_item_of_the_log(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:{i:02}", i % 3, "click", 1.0, f"item {i % 7}") for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", events.ts.cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    members = catalog.queries()["toggle_membership"](spark, str(tmp_path)).select("user_id", "list_id", "item_id").collect()
+    found = catalog.queries()["lists_containing"](spark, str(tmp_path)).select("user_id", "list_id", "item_id").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, members)) and any((r["item_id"] - r["user_id"]) % 10 for r in found)
