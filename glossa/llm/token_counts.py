@@ -83,18 +83,23 @@ class Counter:
         missing = np.flatnonzero((self.slot_key[slot] != key) & (left != self.unknown))
         if not len(missing):
             return self.slot_fits[slot] | (left == self.unknown)
-        for k in np.unique(key[missing]).tolist():
-            if k not in self.fits:
-                if len(self.fits) > KEPT:
-                    self.fits.clear()
-                a, b = self.pieces[k // (self.unknown + 1)], self.pieces[k % (self.unknown + 1)]
-                self.fits[k] = self.merge(a + b) == [a, b]
-        known = np.fromiter(map(self.fits.__getitem__, key[missing].tolist()), dtype=bool, count=len(missing))
+        keys, where = np.unique(key[missing], return_inverse=True)
+        known = np.fromiter(map(self.fit_together, keys.tolist()), dtype=bool, count=len(keys))[where]
         out = self.slot_fits[slot] | (left == self.unknown)
         out[missing] = known
         self.slot_key[slot[missing]], self.slot_fits[slot[missing]] = key[missing], known  # of two keys for a slot the last stays
         return out
 
+    def fit_together(self, key: int) -> bool:
+        """Whether the text of the two pieces of key falls into exactly these two."""
+        known = self.fits.get(key)
+        if known is None:
+            if len(self.fits) > KEPT:
+                self.fits.clear()
+            a, b = self.pieces[key // (self.unknown + 1)], self.pieces[key % (self.unknown + 1)]
+            known = self.fits[key] = self.merge(a + b) == [a, b]
+        return known
+
     def prefix_table(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of tokens of each prefix of each run, in one array, and where each run begins in it.
 
