@@ -7,7 +7,7 @@ of tokens of every prefix; a limit or a budget is then a look into that list, wi
 has a blank behind another letter, so a text falls apart into runs of blanks with what follows them, each with a list
 of its own; lists of short runs are kept in a bounded table.
 
-Defined results: a null text is an empty one with 0 tokens; a text isn't cut, whatever its length; strings that look
+Defined results: a null text is an empty one with 0 tokens; a text isn't cut, whatever its length (a long run without blanks goes forward in windows of bounded size); strings that look
 like control tokens are ordinary text; letters that the vocabulary lacks take a token for each byte; repeated rows and
 null keys pass through; an empty table gives an empty result; only the named columns are read.
 """
@@ -31,9 +31,16 @@ _RUN = re.compile(f"{BLANK}+[^{BLANK}]*")
 KEPT, KEPT_CHARS = 400_000, 64
 #: Letters of the runs that go forward together.
 BLOCK_CHARS = 400_000
+#: Runs longer than this go forward one by one, in windows of bounded size.
+LONG_CHARS, WINDOW_CHARS = 256, 1 << 15
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def _width(letters: np.ndarray) -> np.ndarray:
+    """The bytes of each letter in UTF-8."""
+    return np.where(letters < 0x80, 1, np.where(letters < 0x800, 2, np.where(letters < 0x10000, 3, 4)))
+
+
 class Counter:
     """The pieces of a BPE vocabulary with byte fallback."""
 
@@ -100,6 +107,59 @@ class Counter:
             known = self.fits[key] = self.merge(a + b) == [a, b]
         return known
 
+    def ending_here(self, letters: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
+        """For each size up to most, the piece of that size that ends at each letter and lies in the letter's run, or -1."""
+        n = len(letters)
+        mixed, h = (letters.astype(np.uint64) + np.uint64(1)) * _MIX, np.zeros(n, dtype=np.uint64)
+        found = np.full((min(self.longest, max(most, 1)), n), -1, dtype=np.int32)
+        for size in range(1, min(self.longest, most) + 1):
+            h = np.concatenate([np.zeros(1, dtype=np.uint64), h[:-1]]) * _BASE + mixed
+            at = np.flatnonzero(self.seen[h >> np.uint64(44)] & (place >= size - 1))
+            i = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            same = self.hashes[i] == h[at]
+            found[size - 1, at[same]] = self.of_hash[i[same]]
+        return found
+
+    def windows(self, run: str) -> Iterator[list[int]]:
+        """The number of tokens of each prefix of a long run, window by window.
+
+        What a window needs of those before it are the last pieces and numbers of as many letters as the longest piece has.
+        """
+        back = self.longest
+        last, count = [], []
+        for begin in range(0, len(run), WINDOW_CHARS):
+            seen = run[max(0, begin - back) : begin + WINDOW_CHARS]
+            skip = begin - max(0, begin - back)
+            letters = np.frombuffer(seen.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            found = self.ending_here(letters, np.arange(len(letters)), len(letters))[:, skip:]
+            size, end = np.nonzero(found >= 0)
+            order = np.lexsort((-size, end))
+            size, end = size[order], end[order]
+            pieces, sizes = found[size, end].tolist(), (size + 1).tolist()
+            ends = np.searchsorted(end, np.arange(found.shape[1] + 1)).tolist()
+            width = _width(letters[skip:]).tolist()
+            last, count = last[-back:], count[-back:]
+            kept = len(last)
+            for i in range(found.shape[1]):
+                at = kept + i
+                for j in range(ends[i], ends[i + 1]):
+                    size, piece = sizes[j], pieces[j]
+                    if size == begin + i + 1:
+                        fits = self.whole[piece]
+                    elif size == 1:  # a letter on its own
+                        fits = True
+                    else:
+                        left = last[at - size]
+                        fits = left == self.unknown or self.fit_together(left * (self.unknown + 1) + piece)
+                    if fits:
+                        last.append(piece)
+                        count.append(1 + (count[at - size] if size <= at else 0))
+                        break
+                else:
+                    last.append(self.unknown)
+                    count.append(width[i] + (count[at - 1] if at else 0))
+            yield count[kept:]
+
     def prefix_table(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of tokens of each prefix of each run, in one array, and where each run begins in it.
 
@@ -110,15 +170,8 @@ class Counter:
         n = len(letters)
         starts = np.cumsum(sizes) - sizes
         place = np.arange(n) - np.repeat(starts, sizes)
-        mixed, h = (letters.astype(np.uint64) + np.uint64(1)) * _MIX, np.zeros(n, dtype=np.uint64)
-        found = np.full((self.longest, n), -1, dtype=np.int32)
-        for size in range(1, min(self.longest, int(sizes.max(initial=0))) + 1):
-            h = np.concatenate([np.zeros(1, dtype=np.uint64), h[:-1]]) * _BASE + mixed
-            at = np.flatnonzero(self.seen[h >> np.uint64(44)] & (place >= size - 1))
-            i = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-            same = self.hashes[i] == h[at]
-            found[size - 1, at[same]] = self.of_hash[i[same]]
-        width = np.where(letters < 0x80, 1, np.where(letters < 0x800, 2, np.where(letters < 0x10000, 3, 4)))
+        found = self.ending_here(letters, place, int(sizes.max(initial=0)))
+        width = _width(letters)
         last, count = np.full(n, self.unknown, dtype=np.int32), np.zeros(n, dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
         begin, size_of = starts[order], sizes[order]
@@ -166,7 +219,10 @@ class Counter:
         if len(totals) > KEPT:
             totals.clear()
         large = {}
-        for block, count, starts in self.tables(list(seen.difference(totals))):
+        for run in [r for r in seen if len(r) > LONG_CHARS]:
+            for counts in self.windows(run):
+                large[run] = counts[-1]
+        for block, count, starts in self.tables([r for r in seen.difference(totals) if len(r) <= LONG_CHARS]):
             ends = np.append(starts[1:], len(count)) - 1
             (totals if len(block[-1]) <= KEPT_CHARS else large).update(zip(block, count[ends].tolist(), strict=True))
         if large:
@@ -175,8 +231,9 @@ class Counter:
 
     def prefix_counts(self, text: str) -> list[int]:
         """The number of tokens of each prefix of text; entry i is for the first i code points."""
-        runs, lists = self.runs(text), {}
-        for block, count, starts in self.tables(list(set(runs))):
+        runs = self.runs(text)
+        lists = {r: np.concatenate(list(map(np.array, self.windows(r)))) for r in set(runs) if len(r) > LONG_CHARS}
+        for block, count, starts in self.tables([r for r in set(runs) if len(r) <= LONG_CHARS]):
             lists.update(zip(block, np.split(count, starts[1:]), strict=True))
         out, base = [0], 0
         for k, run in enumerate(runs):

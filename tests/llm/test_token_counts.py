@@ -49,6 +49,21 @@ def test_a_full_table_changes_nothing(monkeypatch):
     assert [c.counts([x])[0] for x in xs] == token_counts.counter(PATH).counts(xs)
 
 
+def test_long_runs_without_blanks(library, monkeypatch):
+    rng = random.Random(4)
+    c = token_counts.counter(PATH)
+    monkeypatch.setattr(token_counts, "WINDOW_CHARS", 37)
+    xs = ["".join(rng.choice("漢字thein你好ing世界的一是=-\U0001f600é") for _ in range(rng.randrange(257, 2000))) for _ in range(20)] + ["=" * 900, "the" * 400 + " " * 300 + "x"]
+    assert c.counts(xs) == [len(x) for x in library.encode(xs)]
+    assert c.prefix_counts(xs[0])[-30:] == [len(library.encode(xs[0][:i])) for i in range(len(xs[0]) - 29, len(xs[0]) + 1)]
+
+
+def test_a_megabyte_without_blanks(library):
+    rng = random.Random(5)
+    text = "".join(chr(0x4E00 + int(rng.random() ** 3 * 3000)) for _ in range(350_000))
+    assert token_counts.counter(PATH).counts([text]) == [len(library.encode(text))]
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, None, 5), (1, None, 5), (None, "a b", 5), (2, "", 5)], "doc_id long, text string, n_tokens int")
     got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in token_counts.token_counts(df, PATH, ["doc_id"]).collect())
