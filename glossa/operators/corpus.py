@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.markup import convert
-from glossa.functions.text import collapse, normalize_compact, normalize_spaced, word_starts
+from glossa.functions.text import collapse, normalize_compact, word_starts
 from glossa.sources.shared import materialised
 
 
@@ -29,8 +29,9 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
 def entries_from_rows(rows: DataFrame) -> DataFrame:
     """D3: id, source_id, word, pron, body and phrases (kept spellings) of each row, in source order."""
     made = rows.withColumn("word", collapse("word")).withColumn("c", convert("meaning"))
-    kept = made.select("source_id", "file", "at", "word", "c.pron", "c.body", kept_phrases(F.col("c.phrases"), F.col("word")).alias("phrases"))
-    return dense_ids(kept, ["source_id", "file", "at"]).select("id", "source_id", "word", "pron", "body", "phrases")
+    order = ["source_id", *(c for c in ("file", "block", "line", "at") if c in rows.columns)]
+    kept = made.select(*order, "word", "c.pron", "c.body", kept_phrases(F.col("c.phrases"), F.col("word")).alias("phrases"))
+    return dense_ids(kept, order).select("id", "source_id", "word", "pron", "body", "phrases")
 
 
 def kept_phrases(phrases, word):  # noqa: ANN001, ANN201
@@ -51,6 +52,3 @@ def headword_list(df: DataFrame, line: str, display: str, kind: str) -> DataFram
     """SRC05, D7: kind, line, display, compact form and the offsets where words start in it."""
     return df.select(F.lit(kind).alias("kind"), F.col(line).cast("long").alias("line"), F.col(display).alias("display"), normalize_compact(display).alias("compact"), word_starts(display).alias("starts"))
 
-
-def spaced(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, normalize_spaced(text).alias("spaced"), normalize_compact(text).alias("compact"))

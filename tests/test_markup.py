@@ -74,10 +74,44 @@ def test_dump_rows(spark, tmp_path):
     assert sorted(r["source_id"] for r in by_line.collect()) == [1, 1, 2, 3, 9]
 
 
-def test_dump_without_tuple_fails(spark):
-    broken = spark.createDataFrame([("INSERT INTO t VALUES oops;", "f")], "value string, file string")
-    with pytest.raises(Exception, match="no tuple"):
-        parse_dump(broken).collect()
+@pytest.mark.parametrize(
+    "broken",
+    [
+        "INSERT INTO t VALUES oops;", "INSERT INTO t VALUES (1, 'a', 'b'), (2, NOW(), 'x');", "INSERT INTO t VALUES (1, 'a', 'b'), (2, 'open", "INSERT INTO t VALUES (1, 'a', 'b') (2, 'c', 'd');",
+        "INSERT INTO t VALUES (1, 'a', 'b')", "INSERT INTO t VALUES (1, 'a' 'b', 'c');", "INSERT INTO t VALUES (1, 'a', 'b'),\n(2, 'two');", "INSERT INTO t VALUES (1, 'a', 'b'),;", "INSERT INTO t (a, b)",
+    ],
+)
+def test_broken_statements_fail(spark, broken):
+    for text in (broken, "-- head (1, 'x', 'y');\nINSERT INTO t VALUES (7, 'g', 'h');\n" + broken):
+        with pytest.raises(Exception, match=r"breaks off in f|fewer than three values in f"):
+            parse_dump(spark.createDataFrame([(text, "f")], "value string, file string")).collect()
+
+
+def test_only_tuples_of_statements_are_rows(spark, tmp_path):
+    text = "CREATE TABLE t (\n  a int(11),\n  KEY k (a,b,c)\n) ENGINE=x;\nINSERT INTO t (a, b, c) VALUES\n(1, 'VALUES (3, ''x'', ''y'')', 'INSERT INTO t VALUES (4, 5, 6);'),\n  (2,  ,NULL)   ,\n(3, '', '')             ;\nALTER TABLE t ADD (x,y,z);\n"
+    want = [(1, "VALUES (3, 'x', 'y')", "INSERT INTO t VALUES (4, 5, 6);"), (2, "", "NULL"), (3, "", "")]
+    got = parse_dump(spark.createDataFrame([(text, "f")], "value string, file string")).orderBy("at").collect()
+    assert [tuple(r)[2:] for r in got] == want
+    (tmp_path / "a.sql").write_text(text, encoding="utf-8")
+    lines = read_dumps(spark, str(tmp_path), whole=False).orderBy("file", "block", "line", "at")
+    assert [(r["source_id"], r["word"], r["meaning"]) for r in lines.collect()] == want
+    (tmp_path / "b.sql").write_text("INSERT INTO t VALUES\n(1, 'a', 'raw\nbreak');\n", encoding="utf-8")
+    with pytest.raises(Exception, match="breaks off in b.sql"):
+        read_dumps(spark, str(tmp_path), whole=False).collect()
+    assert read_dumps(spark, f"{tmp_path}/b.sql").head()["meaning"] == "raw\nbreak"
+
+
+def test_equal_ids_keep_their_order_by_line(spark, tmp_path):
+    rows = [(i % 3, f"w{i}") for i in range(4000)]
+    (tmp_path / "a.sql").write_text("INSERT INTO t VALUES\n" + ",\n".join(f"({i}, '{w}', 'm')" for i, w in rows) + ";\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = read_dumps(spark, str(tmp_path), whole=False)
+        assert lines.rdd.getNumPartitions() > 5
+        got = entries_from_rows(lines).orderBy("id").select("source_id", "word").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [tuple(r) for r in got] == sorted(rows, key=lambda r: r[0])
 
 
 def test_entries_are_dense_and_phrases_keep_the_first_spelling(spark):
