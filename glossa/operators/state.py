@@ -27,27 +27,45 @@ def after_clear(events: DataFrame, op: str = "op") -> DataFrame:
     return rest.where(F.col("cleared").isNull() | (F.struct("ts", "event_id") > F.col("cleared"))).drop("cleared")
 
 
+#: What the favourites are called until they are renamed, and a list that is created without a name.
+FAVOURITES_NAME, NEW_NAME = "favourites", "new list"
+
+
+def _lives(events: DataFrame) -> DataFrame:
+    """user_id, list_id, since: the lists that exist, and when they were created. Ids that come back are new lists; favourites aren't created."""
+    last = events.where("op IN ('create', 'delete')").where(F.col("list_id") != FAVOURITES).groupBy("user_id", "list_id").agg(F.max(F.struct("ts", "event_id", "op")).alias("last"))
+    return last.where("last.op = 'create'").select("user_id", "list_id", F.struct("last.ts", "last.event_id").alias("since"))
+
+
 def members(events: DataFrame) -> DataFrame:
     """STA01, STA02: user_id, list_id, item_id, added_at of the items in each list.
 
-    A toggle flips membership, a remove ends it: an item is in if an odd number of toggles follow its last remove.
+    A toggle flips membership, a remove ends it, and deleting a list ends all of its. On lists that don't exist
+    neither does anything; favourites always exist. An item is in if an odd number of toggles follow the list's
+    creation and the item's last remove.
     """
     at = F.struct("ts", "event_id")
     keys = ["user_id", "list_id", "item_id"]
-    removed = F.max(F.when(F.col("op") == "remove", at)).over(Window.partitionBy(*keys))
-    live = events.withColumn("removed", removed).where("op = 'toggle'").where(F.col("removed").isNull() | (at > F.col("removed")))
-    counted = live.groupBy(*keys).agg(F.count("*").alias("n"), F.max("ts").alias("added_at"))
+    on_items = events.where("op IN ('toggle', 'remove')").select(*keys, "op", at.alias("at"))
+    living = on_items.join(_lives(events), ["user_id", "list_id"], "left").where((F.col("list_id") == FAVOURITES) | (F.col("at") > F.col("since")))
+    removed = living.where("op = 'remove'").groupBy(*keys).agg(F.max("at").alias("removed"))
+    live = living.where("op = 'toggle'").join(removed, keys, "left").where(F.col("removed").isNull() | (F.col("at") > F.col("removed")))
+    counted = live.groupBy(*keys).agg(F.count("*").alias("n"), F.max("at.ts").alias("added_at"))
     return counted.where("n % 2 = 1").select(*keys, "added_at")
 
 
 def lists(events: DataFrame) -> DataFrame:
-    """STA03: user_id, list_id, name of the lists that exist: created or renamed last, not deleted; favourites always.
+    """STA03: user_id, list_id, name of the lists that exist: created and not deleted since, and every user's favourites.
 
-    A blank name becomes the default on create and changes nothing on rename.
+    A blank name becomes the default on create and changes nothing on rename; a rename of a list that doesn't exist
+    does nothing. Creating the favourites, which exist, only names them.
     """
-    named = events.withColumn("name", F.when((F.col("op") == "create") & (F.trim("name") == ""), "new list").otherwise(F.trim("name"))).where("op = 'delete' OR name <> ''")
-    last = named.where((F.col("op") != "delete") | (F.col("list_id") != FAVOURITES)).groupBy("user_id", "list_id").agg(F.max_by(F.struct("op", "name"), F.struct("ts", "event_id")).alias("last"))
-    return last.where("last.op <> 'delete'").select("user_id", "list_id", F.col("last.name").alias("name"))
+    at, name = F.struct("ts", "event_id"), F.trim("name")
+    naming = events.where("op IN ('create', 'rename')").where((name != "") | ((F.col("op") == "create") & (F.col("list_id") != FAVOURITES)))
+    # the last name of a list that exists was given at its creation or since
+    named = naming.groupBy("user_id", "list_id").agg(F.max_by(F.when(name == "", NEW_NAME).otherwise(name), at).alias("name"))
+    own = _lives(events).select("user_id", "list_id").unionByName(events.select("user_id").distinct().select("user_id", F.lit(FAVOURITES).alias("list_id")))
+    return own.join(named, ["user_id", "list_id"], "left").select("user_id", "list_id", F.coalesce("name", F.lit(FAVOURITES_NAME)).alias("name"))
 
 
 def lists_containing(member_rows: DataFrame, items: DataFrame) -> DataFrame:

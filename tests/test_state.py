@@ -54,3 +54,19 @@ def test_stream(spark, tmp_path):
     events = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     run_history(events, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r["item_id"] for r in history_table(spark, str(tmp_path / "out")).orderBy("rank").collect()] == [1, 2]
+
+
+def list_log(spark, rows):
+    return spark.createDataFrame([(i, T0 + dt.timedelta(minutes=i), 1, *r) for i, r in enumerate(rows)], "event_id long, ts timestamp, user_id long, list_id string, op string, name string, item_id long")
+
+
+def test_lists_that_were_deleted_dont_come_back_by_renaming(spark):
+    rows = [("a", "rename", "early", 0), ("a", "create", "one", 0), ("a", "delete", "", 0), ("a", "rename", "two", 0), ("b", "create", "b1", 0), ("b", "rename", " b2 ", 0), ("c", "create", "c1", 0), ("c", "delete", "", 0), ("c", "create", "", 0)]
+    got = sorted((r["list_id"], r["name"]) for r in state.lists(list_log(spark, rows)).collect())
+    assert got == [("b", "b2"), ("c", "new list"), ("fav", "favourites")]
+
+
+def test_items_live_and_go_with_their_list(spark):
+    rows = [("a", "toggle", "", 1), ("a", "create", "x", 0), ("a", "toggle", "", 1), ("a", "toggle", "", 2), ("a", "delete", "", 0), ("a", "toggle", "", 3), ("a", "create", "y", 0), ("a", "toggle", "", 2), ("fav", "toggle", "", 9), ("b", "toggle", "", 4), ("fav", "delete", "", 0)]
+    got = sorted((r["list_id"], r["item_id"]) for r in state.members(list_log(spark, rows)).collect())
+    assert got == [("a", 2), ("fav", 9)]
