@@ -21,8 +21,10 @@ def entries_by_id(entries: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def random_entry(entries: DataFrame, seed: int) -> DataFrame:
-    """ENT05: one entry, the same for the same seed."""
-    return entries.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(1)
+    """ENT05: one entry, the same for the same seed: the id whose hash is smallest. Only ids are compared; no entry without an id."""
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    drawn = entries.where("id IS NOT NULL").agg(F.min(F.struct(hashed.alias("h"), "id"))["id"].alias("id")).where("id IS NOT NULL")
+    return entries.join(F.broadcast(drawn), "id").limit(1)
 
 
 def snippets(entries: DataFrame, ids: DataFrame, terms: list[str]) -> DataFrame:

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import normalize_compact, word_starts
+from glossa.sources.shared import materialised
 
 LIMIT = 400
 #: A batch of up to this many queries is sent to every task; a larger one meets the headwords on two-letter grams.
-BROADCAST_QUERIES = 2000
+BROADCAST_QUERIES = 16
+#: Headwords with one gram that meet its queries in one task, about.
+GRAM_ROWS = 20_000
 
 
 def prepared(queries: DataFrame) -> DataFrame:
@@ -33,6 +36,27 @@ def _tier():  # noqa: ANN202
     return F.array_min(F.transform(F.filter(places, valid), tier))
 
 
+def _grams(text: str):  # noqa: ANN202
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(F.col(text), i, F.lit(2))))
+
+
+def _met_by_gram(headwords: DataFrame, queries: DataFrame) -> DataFrame:
+    """Headwords that contain a query of two letters or more.
+
+    Each query is looked up by the one of its grams that the fewest headwords have; a gram that many have is split
+    into parts, and its queries are repeated for each. A query with a gram that no headword has finds nothing.
+    """
+    by_gram = headwords.where(F.length("compact") > 1).withColumn("gram", F.explode(_grams("compact")))
+    counts = by_gram.groupBy("gram").agg(F.count("*").alias("rows"))
+    asked = queries.withColumn("all_grams", F.size(_grams("qc"))).withColumn("gram", F.explode(_grams("qc"))).join(counts, "gram")
+    rarest = asked.groupBy("query_id", "qc", "breaks", "all_grams").agg(F.count("*").alias("known"), F.min(F.struct("rows", "gram")).alias("rare")).where("known = all_grams")
+    rarest = materialised(rarest.select("query_id", "qc", "breaks", "rare.gram", F.ceil(F.col("rare.rows") / GRAM_ROWS).cast("int").alias("parts")))
+    wanted = rarest.select("gram", "parts").distinct()
+    split = by_gram.join(wanted, "gram").withColumn("part", F.pmod(F.xxhash64("kind", "line"), F.col("parts")).cast("int")).drop("parts")
+    repeated = rarest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return split.join(repeated, ["gram", "part"]).where(F.contains("compact", "qc")).drop("gram", "part")
+
+
 def matches(headwords: DataFrame, queries: DataFrame, broadcast_limit: int = BROADCAST_QUERIES) -> DataFrame:
     """HWS02-05: query_id, kind, line, display, tier of every match."""
     q = prepared(queries)
@@ -40,9 +64,7 @@ def matches(headwords: DataFrame, queries: DataFrame, broadcast_limit: int = BRO
     if q.limit(broadcast_limit + 1).count() <= broadcast_limit:
         met = headwords.join(F.broadcast(long_), F.contains(headwords["compact"], F.col("qc")))
     else:
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("compact") - 1), lambda i: F.substring(F.col("compact"), i, F.lit(2))))
-        by_gram = headwords.where(F.length("compact") > 1).withColumn("gram", F.explode(grams))
-        met = by_gram.join(long_.withColumn("gram", F.substring("qc", 1, 2)), "gram").where(F.contains("compact", "qc")).drop("gram")
+        met = _met_by_gram(headwords, long_)
     tiers = met.withColumn("tier", _tier()).where("tier IS NOT NULL").select("query_id", "kind", "line", "display", "tier")
     first = headwords.where(F.length("compact") > 0).withColumn("qc", F.substring("compact", 1, 1)).join(short.select("query_id", "qc"), "qc")
     place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("line"))
