@@ -41,7 +41,7 @@ def strip_markup(s: Text) -> Column:
 
 def tidy(s: Column) -> Column:
     """CNV09."""
-    s = F.regexp_replace(s, "[ \\t\\r\\u00a0]+", " ")
+    s = F.regexp_replace(s, "[\\t\\r\\u00a0][ \\t\\r\\u00a0]*+| [ \\t\\r\\u00a0]++", " ")
     s = F.regexp_replace(s, " ?([\\n\\x01-\\x06]) ?", "$1")
     s = F.regexp_replace(s, "\\n*\\x01\\n*", "\u0001")
     s = F.regexp_replace(s, "\\n{2,}", "\n")
@@ -53,10 +53,10 @@ def convert(html: Text) -> Column:
     m = F.regexp_replace(_c(html), f'^[{WIDE_SPACE}]*<span class="hlight">[^<]*</span>', "")
     lead = f"^([\\s\\S]{{0,7}}?){PRON}"
     own = F.when(m.rlike(lead), _pron(F.regexp_extract(m, lead, 2))).otherwise("")
-    rest = replace_each(F.regexp_replace(m, lead, "$1 "), PRON, lambda x: F.when(_pron(x) != "", F.concat(F.lit("\u000e"), _pron(x), F.lit("\u000f"))).otherwise(" "))
+    rest = replace_each(F.regexp_replace(m, lead, "$1 "), PRON, lambda x: F.when(_pron(x) != "", F.concat(F.lit("\u000e"), _pron(x), F.lit("\u000f"))).otherwise(" "), mark='DarkGreen')
     rest = F.regexp_replace(rest, SENSE, "\u0001")
     rest = F.regexp_replace(rest, SUB, "\u0004")
-    rest = replace_each(rest, CITE, lambda x: F.concat(F.lit("\u0002"), clean(F.regexp_replace(x, BR, " ")), F.lit("\u0003")))
+    rest = replace_each(rest, CITE, lambda x: F.concat(F.lit("\u0002"), clean(F.regexp_replace(x, BR, " ")), F.lit("\u0003")), mark='"Red"')
     rest = F.regexp_replace(rest, '<span class="hlight" dir="[a-z]+">([^<]*)</span>', "$1")
 
     def marked(m: Column) -> tuple[Column, Column]:
@@ -96,7 +96,7 @@ def meaning_text(body: Text) -> Column:
     s = F.regexp_replace(s, "\\x0e([^\\x0f]*)\\x0f?", "[$1]")
     s = F.replace(s, F.lit("\u0004"), F.lit("♦ "))
     s = F.regexp_replace(s, "[\\x00-\\x09\\x0b-\\x1f]", "")
-    s = F.replace(F.regexp_replace(s, "[ \\t]+", " "), F.lit("\n "), F.lit("\n"))
+    s = F.replace(F.regexp_replace(s, "\\t[ \\t]*+| [ \\t]++", " "), F.lit("\n "), F.lit("\n"))
     return trim_wide(s)
 
 

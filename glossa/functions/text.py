@@ -20,6 +20,8 @@ DELETED = "".join(map(chr, range(0x064B, 0x0660))) + "\u0670\u0640\u0621\u200d\u
 SEPARATORS = "\t\n\r \u00a0\u200c\u200b" + ".,;:!?()[]{}<>\"'`/\\|-_=+*&^%$#@~" + "\u00ab\u00bb\u060c\u061b\u061f\u066a\u066b\u066c\u2026\u2013\u2014\u2010\u2022\u2666\u25c4"
 #: White space as the web's scripting language has it, for use in a character class.
 WIDE_SPACE = "\\t\\n\\x0B\\f\\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Runs of white space other than one plain space, which is what they become: most of a text's white space is left alone.
+BLANKS = f"[{WIDE_SPACE.replace(' ', '')}][{WIDE_SPACE}]*+| [{WIDE_SPACE}]++"
 #: What ends a word in running text.
 WORD_ENDS = WIDE_SPACE + ".,;:!?()\\[\\]\u00ab\u00bb\"'\u060c\u061b\u061f"
 ZWNJ = "\u200c"
@@ -44,7 +46,7 @@ def normalize_spaced(s: Text, keep_newlines: bool = False) -> Column:
     """NRM02: mapped, separators to one space, trimmed. With keep_newlines each line on its own."""
     if keep_newlines:
         return F.array_join(F.transform(F.split(_c(s), "\n"), lambda x: normalize_spaced(x)), "\n")
-    return F.trim(F.regexp_replace(char_map(s), " +", " "))
+    return F.trim(F.regexp_replace(char_map(s), " {2,}+", " "))
 
 
 def normalize_compact(s: Text) -> Column:
@@ -74,11 +76,20 @@ def persian_digits(s: Text) -> Column:
     return F.translate(_c(s), ARABIC_DIGITS, PERSIAN_DIGITS)
 
 
-def replace_each(s: Text, pattern: str, fn: Callable[[Column], Column], group: int = 1) -> Column:
-    """Each match of pattern becomes fn of its group."""
-    s = _c(s)
-    between, found = F.split(s, pattern, -1), F.regexp_extract_all(s, F.lit(pattern), F.lit(group))
-    return F.array_join(F.zip_with(between, F.transform(found, fn), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def replace_each(s: Text, pattern: str, fn: Callable[[Column], Column], mark: str, group: int = 1) -> Column:
+    """Each match of pattern becomes fn of its group. Only texts that hold mark, which is in every match, are searched."""
+
+    def replaced(x: Column) -> Column:
+        between, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(group))
+        joined = F.array_join(F.zip_with(between, F.transform(found, fn), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(F.contains(x, F.lit(mark)), joined).otherwise(x)
+
+    return once(_c(s), replaced)
 
 
 _NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'", "nbsp": " ", "zwnj": ZWNJ}
@@ -97,12 +108,12 @@ def _entity(e: Column) -> Column:
 
 def decode_entities(s: Text) -> Column:
     """NRM08: one pass; unknown names and impossible numbers stay as they are."""
-    return replace_each(s, "(?i)(&(?:#x?[0-9a-f]+|[a-z]+);)", _entity)
+    return replace_each(s, "(?i)(&(?:#x?[0-9a-f]+|[a-z]+);)", _entity, mark="&")
 
 
 def collapse(s: Text) -> Column:
     """NRM10: white space to one space, trimmed."""
-    return F.trim(F.regexp_replace(_c(s), f"[{WIDE_SPACE}]+", " "))
+    return F.trim(F.regexp_replace(_c(s), BLANKS, " "))
 
 
 TAG = "</?[a-zA-Z][^>]*>"
@@ -126,16 +137,18 @@ def persian_number(n: Text) -> Column:
     return F.translate(F.format_number(_c(n), 0), "0123456789,", PERSIAN_DIGITS + "\u066c")
 
 
+def capped_count(n: Text, limit: int) -> Column:
+    """TXT11: a count as it is shown, with a plus sign where it has reached the limit."""
+    n = _c(n)
+    return F.when(n >= limit, F.concat(F.lit("+"), persian_number(F.lit(limit)))).otherwise(persian_number(n))
+
+
 def find_term(s: Text, terms: Column) -> Column:
     """TXT02: the offset of the first word that is a term, else of the first that starts with one, else -1.
 
     The text is normalised as a whole, its words parted by a unit separator (one in the text parts words too).
     """
 
-    def once(value: Column, fn: Callable[[Column], Column]) -> Column:
-        """fn of a value that is computed once, however often fn uses it."""
-        return F.element_at(F.transform(F.array(value), fn), 1)
-
     def place(x: Column) -> Column:
         size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, y: a + F.length(y))
         exact = F.array_min(F.filter(F.transform(terms, lambda t: F.array_position(x["c"], t)), lambda i: i > 0))

@@ -6,6 +6,7 @@ events for the log of lists and history, pages for marked-up text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,12 +88,13 @@ def word_starts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(
-    f"""SELECT p_partkey, CAST(CASE WHEN w = '' THEN 0 WHEN w IN ('red', 'bol', 'ge') THEN 2 WHEN starts_with(w, 'red') OR starts_with(w, 'bol') THEN 1 ELSE 0 END AS INTEGER) AS hit
-    FROM (SELECT p_partkey, {S.compact("string_split(p_name, ' ')[2]")} AS w FROM part)"""
+    f"""SELECT p_partkey, CAST(place - 1 AS BIGINT) AS place, CAST(CASE WHEN w = '' THEN 0 WHEN w IN ('red', 'bol', 'ge') THEN 2 WHEN starts_with(w, 'red') OR starts_with(w, 'bol') THEN 1 ELSE 0 END AS INTEGER) AS hit
+    FROM (SELECT p_partkey, place, {S.compact("ws[place]")} AS w FROM (SELECT p_partkey, ws, unnest(range(1, len(ws) + 1)) AS place FROM (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part)))"""
 )
 def term_test(spark: SparkSession, d: str) -> DataFrame:
     terms = F.array(*map(F.lit, ("red", "bol", "ge")))
-    return _table(spark, d, "part").select("p_partkey", T.term_test(F.split("p_name", " ")[1], terms).cast("int").alias("hit"))
+    words = _table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("place", "w"))
+    return words.select("p_partkey", F.col("place").cast("long").alias("place"), T.term_test("w", terms).cast("int").alias("hit"))
 
 
 @registered(f"SELECT page_id, {S.persian_digits('translate(url, ' + S.quoted('0123456789') + ', ' + S.quoted(T.ARABIC_DIGITS) + ')')} AS digits FROM pages")
@@ -124,13 +126,8 @@ def strip_markup(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", M.strip_markup("html").alias("body"))
 
 
-#: An entry's source markup, made of a document.
-_MARKED = """SELECT doc_id, '<span class="hlight">h</span> <font color="DarkGreen"><b>[ ' || lang || '٣ ]</font></b> ' || replace(left(text, 300), chr(10), '<br>')
-    || '<br/><font color="Blue">◄</font> ' || source || ' <font color="Red">' || lang || '<br>&amp;x</font>. <font color="HotPink">♦</font> <span class="hlight">phrase '
-    || lang || '</span> ؛ end <span class="hlight" dir="rtl">d</span>' AS html FROM documents"""
-
-
 def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """An entry's source markup, made of a whole document."""
     docs = _table(spark, d, "documents")
     html = F.concat(
         F.lit('<span class="hlight">h</span> <font color="DarkGreen"><b>[ '), F.col("lang"), F.lit("٣ ]</font></b> "), F.replace("text", F.lit("\n"), F.lit("<br>")),
@@ -142,7 +139,7 @@ def _marked(spark: SparkSession, d: str) -> DataFrame:
 
 _BODY = S.tidy(
     S.persian_digits(
-        "' ' || replace(left(text, 300), chr(10), chr(10)) || chr(1) || ' ' || source || ' ' || chr(2) || lang || ' &x' || chr(3) || '. ' || chr(4) || ' ' || chr(5) || 'phrase ' || lang || chr(6) || ' ؛ end d'"
+        "' ' || text || chr(1) || ' ' || source || ' ' || chr(2) || lang || ' &x' || chr(3) || '. ' || chr(4) || ' ' || chr(5) || 'phrase ' || lang || chr(6) || ' ؛ end d'"
     )
 )
 
@@ -158,7 +155,7 @@ def plain_for_index(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).select("doc_id", M.plain_for_index(M.convert("html")["body"]).alias("plain"))
 
 
-@registered(f"SELECT doc_id, {S.collapse('regexp_replace(replace(replace(b, chr(1), ' + S.quoted(' ◄ ') + '), chr(4), ' + S.quoted(' ♦ ') + S.quoted('')[:0] + '), ' + S.quoted('[\\x00-\\x1f]') + ', ' + S.quoted(' ') + ', ' + S.quoted('g') + ')')} AS plain FROM (SELECT doc_id, {_BODY} AS b FROM documents)")
+@registered(f"SELECT doc_id, {S.collapse('regexp_replace(replace(replace(b, chr(1), ' + S.quoted(' ◄ ') + '), chr(4), ' + S.quoted(' ♦ ') + '), ' + S.quoted('[\\x00-\\x1f]') + ', ' + S.quoted(' ') + ', ' + S.quoted('g') + ')')} AS plain FROM (SELECT doc_id, {_BODY} AS b FROM documents)")
 def plain_text(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).select("doc_id", M.plain_text(M.convert("html")["body"]).alias("plain"))
 
@@ -173,7 +170,7 @@ def meaning_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(
-    f"""SELECT doc_id, 'w [p]' || chr(10) || chr(10) || CASE WHEN length(m) > 200 THEN regexp_replace(left(m, 200), '[{S.WS}]+[^{S.WS}]*$', '') || ' …' ELSE m END || chr(10) || chr(10) || '— credit' AS shared
+    f"""SELECT doc_id, 'w [p]' || chr(10) || chr(10) || CASE WHEN length(m) > 3500 THEN regexp_replace(left(m, 3500), '[{S.WS}]+[^{S.WS}]*$', '') || ' …' ELSE m END || chr(10) || chr(10) || '— credit' AS shared
     FROM (SELECT doc_id, {_MEANING} AS m FROM (SELECT doc_id, {_BODY} AS b FROM documents))"""
 )
 def share_text(spark: SparkSession, d: str) -> DataFrame:
@@ -195,12 +192,47 @@ def render_inline(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).select("doc_id", M.render_inline(M.convert("html")["body"]).alias("html"))
 
 
-@registered()
+def _inline(x: str) -> str:
+    """A line's control characters as HTML."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    for a, b, html in (("02", "03", "<cite>\\1</cite>"), ("05", "06", '<b class="hl">\\1</b>'), ("0e", "0f", '<span class="pron">[\\1]</span>')):
+        x = f"regexp_replace({x}, '\\x{a}([^\\x{b}]*)\\x{b}?', '{html}', 'g')"
+    return f"replace({x}, chr(4), '<span class=\"sub\">♦</span>')"
+
+
+#: A line is verse where the next line that can't be one is a citation, eight lines further at most.
+_VERSE = f"""lines AS (SELECT doc_id, i, ls[i] AS x FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (
+    SELECT doc_id, list_filter(string_split(replace(b, chr(1), chr(10) || chr(1)), chr(10)), lambda l: regexp_matches(l, '[^{S.WS}]')) AS ls FROM body))),
+kinds AS (SELECT *, regexp_matches(x, '^\x02[^\x03]*\x03[{S.WS}.]*$') AS cite FROM lines),
+stops AS (SELECT *, cite OR starts_with(x, chr(1)) OR contains(x, chr(4)) OR regexp_matches(x, '[:：][{S.WS}]*$') OR length(x) > 140 AS stop FROM kinds),
+ends AS (SELECT *, arg_min(cite, i) FILTER (stop) OVER below AND min(i) FILTER (stop) OVER below - i <= 8 AND NOT stop AS v FROM stops
+  WINDOW below AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+shown AS (SELECT doc_id, i, x, cite, coalesce(v, false) AS verse, coalesce(lag(coalesce(v, false)) OVER (PARTITION BY doc_id ORDER BY i), false) AS open FROM ends)"""
+
+
+@registered(
+    f"""WITH body AS (SELECT doc_id, {_BODY} AS b FROM documents), {_VERSE}
+    SELECT doc_id, coalesce(html, CASE WHEN b IS NOT NULL THEN '' END) AS html FROM body LEFT JOIN (
+      SELECT doc_id, string_agg(CASE WHEN verse AND NOT open THEN '<div class="verse">' ELSE '' END || CASE
+        WHEN verse THEN '<p>' || {_inline("x")} || '</p>'
+        WHEN open AND cite THEN {_inline("x")} || '</div>'
+        WHEN starts_with(x, chr(1)) THEN '<p class="sense">' || {_inline("substring(x, 2)")} || '</p>'
+        ELSE '<p>' || {_inline("x")} || '</p>' END, '' ORDER BY i) AS html FROM shown GROUP BY doc_id) USING (doc_id)"""
+)
 def render_meaning(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).select("doc_id", M.render_meaning(M.convert("html")["body"]).alias("html"))
 
 
-@registered()
+_WORD_ENDS_SQL = T.WORD_ENDS.replace("'", "''")
+_ESC = "replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_HIT = "regexp_matches(" + S.compact(f"replace(ws[i], {S.quoted(T.ZWNJ)}, '')") + ", '^(thing|que|der)')"
+
+
+@registered(
+    f"""SELECT conv_id, turn, list_aggregate(list_transform(range(1, len(gs) + 1), lambda i: {_ESC.format(x="gs[i]")} || CASE WHEN i > len(ws) THEN '' WHEN {_HIT} THEN '<mark>' || {_ESC.format(x="ws[i]")} || '</mark>' ELSE {_ESC.format(x="ws[i]")} END), 'string_agg', '') AS marked
+    FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^{_WORD_ENDS_SQL}]+') AS ws, string_split_regex(text, '[^{_WORD_ENDS_SQL}]+') AS gs FROM conversations)"""
+)
 def mark_terms(spark: SparkSession, d: str) -> DataFrame:
     terms = F.array(*map(F.lit, ("thing", "que", "der")))
     return _table(spark, d, "conversations").select("conv_id", "turn", T.mark_terms("text", terms).alias("marked"))
@@ -212,6 +244,12 @@ def persian_number(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("l_quantity").alias("n"), T.persian_number(F.col("l_quantity") * 1000).alias("shown"))
 
 
+@registered("SELECT user_id, CASE WHEN n >= 30 THEN '+۳۰' ELSE translate(CAST(n AS VARCHAR), '0123456789', '۰۱۲۳۴۵۶۷۸۹') END AS shown FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def capped_count(spark: SparkSession, d: str) -> DataFrame:
+    n = _table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.select("user_id", T.capped_count("n", 30).alias("shown"))
+
+
 # --- index -------------------------------------------------------------------------------------------------------------
 
 _SEG = f"""{ENTRIES},
@@ -350,6 +388,12 @@ def headword_matches_by_gram(spark: SparkSession, d: str) -> DataFrame:
     return headwords.matches(_heads(spark, d)[0], _queries(spark, HEAD_QUERIES), broadcast_limit=0).select("query_id", "kind", "line", F.col("tier").cast("int").alias("tier"))
 
 
+@registered(f"WITH {_HEADS} SELECT query_id, kind, line, CAST(tier AS INTEGER) AS tier FROM hits")
+def headword_matches_by_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same matches by the way for small batches: the queries are sent to the headwords."""
+    return headwords.matches(_heads(spark, d)[0], _queries(spark, HEAD_QUERIES), broadcast_limit=100).select("query_id", "kind", "line", F.col("tier").cast("int").alias("tier"))
+
+
 @registered(f"WITH {_HEADS} SELECT query_id, line AS id FROM qs JOIN heads ON kind = 'entry' AND c = qc")
 def headword_lookup(spark: SparkSession, d: str) -> DataFrame:
     return headwords.lookup(_heads(spark, d)[0], _queries(spark, HEAD_QUERIES))
@@ -428,6 +472,18 @@ def meaning_search_exclude(spark: SparkSession, d: str) -> DataFrame:
     return _meanings(spark, d, out.withColumn("query_id", F.explode(F.sequence(F.lit(0), F.lit(len(TEXT_QUERIES) - 1)))).withColumn("query_id", F.col("query_id").cast("long")).join(q, "query_id", "left_semi"))
 
 
+@registered(
+    _meaning_sql("true").replace("SELECT query_id, rank, id, word AS w, total FROM fin WHERE rank <= 1000", """SELECT q.query_id, coalesce(t.terms, '') AS terms, CASE WHEN t.terms IS NOT NULL THEN coalesce(f.total, 0) END AS total
+    FROM q LEFT JOIN (SELECT query_id, string_agg(term, ' ' ORDER BY ord) AS terms FROM terms GROUP BY query_id) t USING (query_id) LEFT JOIN (SELECT query_id, max(total) AS total FROM fin GROUP BY query_id) f USING (query_id)""")
+)
+def meaning_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What each query asked for and how much it found, also where that is nothing."""
+    stats, stop, post, voc = _index(spark, d)
+    asked = _queries(spark, TEXT_QUERIES)
+    found = meanings.search_meanings(voc, post, stop, stats, _entries(spark, d).select("id", "word"), asked)
+    return meanings.query_summary(asked, stop, found).select("query_id", F.array_join("terms", " ").alias("terms"), "total")
+
+
 @registered(f"WITH {_HEADS} SELECT DISTINCT query_id, line AS id FROM ranked WHERE rank <= 400 AND tier <= 1 AND kind = 'entry'")
 def shown_headwords(spark: SparkSession, d: str) -> DataFrame:
     heads, phrases, words = _heads(spark, d)
@@ -447,7 +503,7 @@ def entry_lookup(spark: SparkSession, d: str) -> DataFrame:
     return entries.entries_by_id(_entries(spark, d), _table(spark, d, "labels").select((F.col("doc_id") * 7).alias("id")))
 
 
-@registered()
+@registered(f"WITH {ENTRIES} SELECT id, word, pron, body FROM entries WHERE id IS NOT NULL ORDER BY md5('11:' || CAST(id AS VARCHAR)), id LIMIT 1")
 def random_entry(spark: SparkSession, d: str) -> DataFrame:
     return entries.random_entry(_entries(spark, d), 11)
 
@@ -493,7 +549,7 @@ def build_report(spark: SparkSession, d: str) -> DataFrame:
     stats, stop, post, voc = _index(spark, d)
     e = _entries(spark, d)
     none = spark.createDataFrame([], "phrase_id long, phrase string, parent_id long")
-    path = f"{shared_dir(spark)}/corpus-{abs(hash(d)) % 10**9}"
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     corpus_files.Corpus(e, none, corpus.headword_list(e, "id", "word", "entry"), post, voc, stop, stats).save(path)
     return corpus_files.Corpus.load(spark, path).report()
 
@@ -522,6 +578,30 @@ def dump_entries(spark: SparkSession, d: str) -> DataFrame:
     return corpus.entries_from_rows(sql_dump.parse_dump(_dump(spark, d))).select("id", "source_id", "word", "body")
 
 
+def _dump_files(spark: SparkSession, d: str) -> str:
+    """A folder of dump files, some with a tuple to a line as usual."""
+    from glossa.sources.shared import shared_dir
+
+    path = f"{shared_dir(spark)}/dumps-{uuid.uuid4().hex}"
+    _dump(spark, d).select("value").write.option("lineSep", "\n").text(path)
+    return path
+
+
+_FILE_ROWS = f"SELECT CAST(p_partkey AS INTEGER) AS source_id, word, meaning FROM ({_ROWS})"
+
+
+@registered(_FILE_ROWS)
+def dump_files(spark: SparkSession, d: str) -> DataFrame:
+    """Dump files on disk, read whole."""
+    return sql_dump.read_dumps(spark, _dump_files(spark, d)).select("source_id", "word", "meaning")
+
+
+@registered(f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, CAST(p_partkey AS INTEGER) AS source_id, word, meaning AS body FROM ({_ROWS})")
+def dump_files_by_line(spark: SparkSession, d: str) -> DataFrame:
+    """Dump files read by line, split between tasks; the rows keep their order."""
+    return corpus.entries_from_rows(sql_dump.read_dumps(spark, _dump_files(spark, d), whole=False)).select("id", "source_id", "word", "body")
+
+
 @registered("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS phrase_id, 'phrase ' || lang AS phrase, row_number() OVER (ORDER BY doc_id) - 1 AS parent_id FROM documents")
 def dump_phrases(spark: SparkSession, d: str) -> DataFrame:
     rows = _marked(spark, d).select(F.col("doc_id").cast("int").alias("source_id"), F.lit("h").alias("word"), F.col("html").alias("meaning"), F.lit("f").alias("file"), F.lit(0).cast("long").alias("at"))
@@ -530,14 +610,16 @@ def dump_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 # --- keyed state -------------------------------------------------------------------------------------------------------------
 
-_LOG = """log AS (SELECT event_id, ts, user_id, 'l' || CAST(event_id % 3 AS VARCHAR) AS list_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS item_id,
-  CASE WHEN event_type = 'error' THEN 'remove' WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'clear' ELSE 'toggle' END AS op FROM events)"""
+_LOG = """log AS (SELECT event_id, ts, user_id, CASE WHEN event_id % 4 = 0 THEN 'fav' ELSE 'l' || CAST(event_id % 3 AS VARCHAR) END AS list_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS item_id,
+  CASE WHEN event_id % 19 = 1 THEN 'create' WHEN event_id % 71 = 2 THEN 'delete' WHEN event_type = 'error' THEN 'remove' WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'clear' ELSE 'toggle' END AS op FROM events)"""
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    op = F.when(F.col("event_type") == "error", "remove").when((F.col("event_type") == "signup") & (F.col("event_id") % 5 == 0), "clear").otherwise("toggle")
+    id_ = F.col("event_id")
+    op = F.when(id_ % 19 == 1, "create").when(id_ % 71 == 2, "delete").when(F.col("event_type") == "error", "remove").when((F.col("event_type") == "signup") & (id_ % 5 == 0), "clear").otherwise("toggle")
+    list_id = F.when(id_ % 4 == 0, "fav").otherwise(F.concat(F.lit("l"), id_ % 3))
     e = _table(spark, d, "events")
-    return e.select("event_id", "ts", "user_id", F.concat(F.lit("l"), F.col("event_id") % 3).alias("list_id"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("item_id"), op.alias("op"))
+    return e.select("event_id", "ts", "user_id", list_id.alias("list_id"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("item_id"), op.alias("op"))
 
 
 _HISTORY = "SELECT user_id, item_id, ts, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, event_id DESC) AS n FROM {log}) WHERE n = 1) WHERE rank <= {k}"
@@ -558,12 +640,18 @@ def history_cleared(spark: SparkSession, d: str) -> DataFrame:
     return state.history(state.after_clear(_log(spark, d)))
 
 
-_MEMBERS = """mem AS (
-  SELECT user_id, list_id, item_id, max(ts) AS added_at FROM (
-    SELECT *, coalesce(max(CASE WHEN op = 'remove' THEN n END) OVER (PARTITION BY user_id, list_id, item_id), 0) AS gone
-    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, list_id, item_id ORDER BY ts, event_id) AS n FROM log)
-  ) WHERE op = 'toggle' AND n > gone GROUP BY ALL HAVING count(*) % 2 = 1
-)"""
+#: Walks along each list's events: which life of the list an event falls into, and whether the list exists then.
+_MEMBERS = """walk AS (
+  SELECT *, list_id = 'fav' OR coalesce(last_value(CASE WHEN op IN ('create', 'delete') THEN op END IGNORE NULLS) OVER along = 'create', false) AS exists_,
+    CASE WHEN list_id = 'fav' THEN 0 ELSE count(*) FILTER (op IN ('create', 'delete')) OVER along END AS life
+  FROM log WINDOW along AS (PARTITION BY user_id, list_id ORDER BY ts, event_id)
+),
+lives AS (SELECT user_id, list_id, max(life) AS life FROM walk GROUP BY ALL),
+steps AS (
+  SELECT *, count(*) FILTER (op = 'remove') OVER (PARTITION BY user_id, list_id, item_id ORDER BY ts, event_id) AS removes, count(*) FILTER (op = 'remove') OVER (PARTITION BY user_id, list_id, item_id) AS all_removes
+  FROM walk JOIN lives USING (user_id, list_id, life) WHERE exists_ AND op IN ('toggle', 'remove')
+),
+mem AS (SELECT user_id, list_id, item_id, max(ts) AS added_at FROM steps WHERE op = 'toggle' AND removes = all_removes GROUP BY ALL HAVING count(*) % 2 = 1)"""
 
 
 @registered(f"WITH {_LOG}, {_MEMBERS} SELECT * FROM mem")
@@ -571,7 +659,7 @@ def toggle_membership(spark: SparkSession, d: str) -> DataFrame:
     return state.members(_log(spark, d))
 
 
-@registered(f"WITH {_LOG}, {_MEMBERS} SELECT user_id, list_id, item_id FROM mem WHERE item_id % 10 = user_id % 10")
+@registered(f"WITH {_LOG}, {_MEMBERS} SELECT user_id, list_id, item_id FROM mem")
 def lists_containing(spark: SparkSession, d: str) -> DataFrame:
     asked = _log(spark, d).select("user_id", "item_id").distinct()
     return state.lists_containing(state.members(_log(spark, d)), asked)
@@ -588,10 +676,15 @@ _ADMIN = """adm AS (SELECT event_id, ts, user_id, CASE WHEN event_id % 11 = 0 TH
 
 
 @registered(
-    f"""WITH {_ADMIN}, live AS (
-      SELECT user_id, list_id, op, CASE WHEN op = 'create' AND trim(name) = '' THEN 'new list' ELSE trim(name) END AS name, row_number() OVER (PARTITION BY user_id, list_id ORDER BY ts DESC, event_id DESC) AS n
-      FROM adm WHERE (op <> 'delete' OR list_id <> 'fav') AND (op IN ('delete', 'create') OR trim(name) <> ''))
-    SELECT user_id, list_id, name FROM live WHERE n = 1 AND op <> 'delete'"""
+    f"""WITH {_ADMIN}, walk AS (
+      SELECT *, last_value(CASE WHEN op <> 'rename' THEN op END IGNORE NULLS) OVER along AS state, count(*) FILTER (op <> 'rename') OVER along AS life, row_number() OVER along AS place
+      FROM adm WHERE list_id <> 'fav' WINDOW along AS (PARTITION BY user_id, list_id ORDER BY ts, event_id)
+    ),
+    ends AS (SELECT user_id, list_id, max(life) AS life FROM walk GROUP BY ALL),
+    names AS (SELECT user_id, list_id, arg_max(CASE WHEN trim(name) = '' THEN 'new list' ELSE trim(name) END, place) AS name FROM walk JOIN ends USING (user_id, list_id, life)
+      WHERE state = 'create' AND (op = 'create' OR trim(name) <> '') GROUP BY ALL),
+    favs AS (SELECT user_id, 'fav' AS list_id, coalesce(arg_max(trim(name), (ts, event_id)) FILTER (list_id = 'fav' AND op <> 'delete' AND trim(name) <> ''), 'favourites') AS name FROM adm GROUP BY user_id)
+    SELECT * FROM names UNION ALL SELECT * FROM favs"""
 )
 def list_admin(spark: SparkSession, d: str) -> DataFrame:
     e = _table(spark, d, "events")
