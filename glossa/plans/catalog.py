@@ -97,7 +97,7 @@ def term_test(spark: SparkSession, d: str) -> DataFrame:
     return words.select("p_partkey", F.col("place").cast("long").alias("place"), T.term_test("w", terms).cast("int").alias("hit"))
 
 
-@registered(f"SELECT page_id, {S.persian_digits('translate(url, ' + S.quoted('0123456789') + ', ' + S.quoted(T.ARABIC_DIGITS) + ')')} AS digits FROM pages")
+@registered(f"SELECT page_id, {S.persian_digits('translate(url, ' + S.quoted('0123456789') + ', ' + S.quoted(S.ARABIC_DIGITS) + ')')} AS digits FROM pages")
 def persian_digits(spark: SparkSession, d: str) -> DataFrame:
     arabic = F.translate("url", "0123456789", T.ARABIC_DIGITS)
     return _table(spark, d, "pages").select("page_id", T.persian_digits(arabic).alias("digits"))
@@ -224,9 +224,9 @@ def render_meaning(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).select("doc_id", M.render_meaning(M.convert("html")["body"]).alias("html"))
 
 
-_WORD_ENDS_SQL = T.WORD_ENDS.replace("'", "''")
+_WORD_ENDS_SQL = S.WORD_ENDS.replace("'", "''")
 _ESC = "replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
-_HIT = "regexp_matches(" + S.compact(f"replace(ws[i], {S.quoted(T.ZWNJ)}, '')") + ", '^(thing|que|der)')"
+_HIT = "regexp_matches(" + S.compact(f"replace(ws[i], {S.quoted(S.ZWNJ)}, '')") + ", '^(thing|que|der)')"
 
 
 @registered(
@@ -522,7 +522,7 @@ _SNIPPET_AT = f"""SELECT id, pron, t, coalesce(min(CASE WHEN k = 2 THEN pos_ END
     SELECT id, pron, t, {S.compact("w")} AS c, sum(length(w) + length(g)) OVER (PARTITION BY id ORDER BY i) - length(w) AS pos_ FROM (
       SELECT id, pron, t, i, ws[i] AS w, gs[i] AS g FROM (
         SELECT id, pron, t, ws, gs, unnest(range(1, greatest(len(ws), 1) + 1)) AS i FROM (
-          SELECT id, pron, t, regexp_extract_all(t, '[^{T.WORD_ENDS.replace("'", "''")}]+') AS ws, string_split_regex(t, '[^{T.WORD_ENDS.replace("'", "''")}]+') AS gs
+          SELECT id, pron, t, regexp_extract_all(t, '[^{S.WORD_ENDS.replace("'", "''")}]+') AS ws, string_split_regex(t, '[^{S.WORD_ENDS.replace("'", "''")}]+') AS gs
           FROM (SELECT id, pron, {_PLAIN} AS t FROM entries))))))
   GROUP BY id, pron, t"""
 
