@@ -51,3 +51,48 @@ def test_a_small_table_of_vectors_changes_nothing(monkeypatch):
     small = lid.Encoder(64)
     for t in ("the quick brown fox", "jumps over", "the lazy dog and more letters here"):
         assert (small.bundle(*small.grams(t)) == large.bundle(*large.grams(t))).all()
+
+
+def by_hand(train, texts):
+    """Letter by letter: random letter vectors, rotated and bound into trigrams, bundled; the nearest of the centred prototypes."""
+    letter = lambda c: np.random.default_rng([lid.SEED, ord(c)]).integers(0, 2, lid.DIM, dtype=np.int8).astype(int) * 2 - 1
+
+    def bundle(text):
+        total, words, word = np.zeros(lid.DIM), [], ""
+        for c in text + " ":
+            if c.isalpha():
+                word += c.lower()[0]
+            elif word:
+                words.append(word)
+                word = ""
+        line = "\0" + "\0".join(words) + "\0" if words else ""
+        for x, y, z in zip(line, line[1:], line[2:]):
+            total += np.roll(letter(x), 2) * np.roll(letter(y), 1) * letter(z)
+        return total
+
+    langs = sorted({g for _, g in train})
+    proto = np.array([sum(bundle(t) for t, g in train if g == lang) for lang in langs])
+    proto = proto / np.linalg.norm(proto, axis=1, keepdims=True)
+    proto = proto - proto.mean(axis=0)
+    proto = proto / np.linalg.norm(proto, axis=1, keepdims=True)
+    out = []
+    for t in texts:
+        v = bundle(t or "")
+        if not any(c.isalpha() for c in t or ""):
+            out.append((lid.UNKNOWN, 0.0))
+            continue
+        cos = proto @ v / np.linalg.norm(v)
+        out.append((langs[int(np.argmax(cos))], 1 / sum(np.exp(lid.SHARPNESS * (c - cos.max())) for c in cos)))
+    return out
+
+
+def test_against_the_definition(spark):
+    rng = random.Random(21)
+    words = {"aa": ["the", "Thing", "and", "of"], "bb": ["der", "die", "Größe", "und"], "cc": ["que", "été", "la", "où"]}
+    make = lambda g: " ".join(rng.choice(words[g]) for _ in range(rng.randrange(1, 9))) + rng.choice(["", " 12!", "\n"])
+    train = [(make(g), g) for g in words for _ in range(6)]
+    texts = [make(rng.choice(list(words))) for _ in range(25)] + [None, "", "123", "x", "Zz zz"] + [train[0][0]] * 3
+    bundles = lid.train(spark.createDataFrame(train, "text string, lang string"))
+    got = {r["i"]: (r["lang_pred"], r["score"]) for r in lid.predict(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), bundles, ["i"]).collect()}
+    for i, (lang, score) in enumerate(by_hand(train, texts)):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-6
