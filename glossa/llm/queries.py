@@ -74,7 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op9_topk_search": OP9_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op9_topk_search": OP9_SQL}
 
 
 #: \x0B and \x0C are white space between words too.
@@ -116,6 +116,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b LEFT JOIN v USING (source)
 """
 
+#: What the formatted text must read back as; a control string and the backslashes before it are written 2n + 1 times escaped.
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(k)
+),
+w AS (
+  SELECT *, length('### ') + coalesce(length(regexp_replace(role, '([\\\n:#<?])', '\\\1', 'g')), 1) + length(': ')
+    + length(regexp_replace(text, '(\\*)(###|</turn>)', '\1\1\\\2', 'g')) + length(' </turn>') + 1 AS written
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(written) AS BIGINT) AS formatted_chars
+FROM w GROUP BY conv_id
+"""
+
+#: Rows are documents of their own. All that share a shingle are compared; components by reachability.
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+),
+sets AS (
+  SELECT rid, doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s
+  FROM d
+),
+each AS (SELECT rid, len(s) AS n, unnest(s) AS x FROM sets WHERE doc_id IS NOT NULL),
+shared AS (SELECT a.rid AS a, b.rid AS b, count(*) AS both_, any_value(a.n) AS na, any_value(b.n) AS nb FROM each a JOIN each b ON a.x = b.x AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+links AS (SELECT a, b FROM shared WHERE 100 * both_ >= 85 * (na + nb - both_)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS rid, min(doc_id) AS other FROM reach JOIN sets ON sets.rid = reach.b GROUP BY a),
+degree AS (SELECT a AS rid, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN least(doc_id, coalesce(other, doc_id)) END AS component_id, coalesce(n_links, 0) AS n_links
+FROM sets LEFT JOIN least USING (rid) LEFT JOIN degree USING (rid)
+"""
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
