@@ -22,18 +22,25 @@ def prepared(queries: DataFrame) -> DataFrame:
 
 
 def _tier():  # noqa: ANN202
-    """HWS03, HWS04: the best tier of the valid matches of qc in compact; null where none is valid."""
+    """HWS03, HWS04: the best tier of the valid matches of qc in compact; null where none is valid.
+
+    A match at the beginning is always valid and the best. Then those where a word starts are looked at, then the rest.
+    """
     c, q, starts, breaks = (F.col(x) for x in ("compact", "qc", "starts", "breaks"))
-    places = F.when(F.length(c) >= F.length(q), F.sequence(F.lit(0), F.length(c) - F.length(q))).otherwise(F.array().cast("array<int>"))
-    places = F.filter(places, lambda p: F.substring(c, p + 1, F.length(q)) == q)
+    here = lambda p: F.substring(c, p + 1, F.length(q)) == q
 
-    def valid(p):  # noqa: ANN001, ANN202
-        end = p + F.length(q)
-        unasked = F.exists(starts, lambda s: (s > p) & (s < end) & ~F.array_contains(breaks, s - p))
-        return ~unasked | (p == 0) | (F.array_contains(starts, p) & (F.array_contains(starts, end) | (end == F.length(c))))
+    def unasked(p):  # noqa: ANN001, ANN202
+        """A word starts inside the match where the query has no break."""
+        return F.exists(starts, lambda s: (s > p) & (s < p + F.length(q)) & ~F.array_contains(breaks, s - p))
 
-    tier = lambda p: F.when((p == 0) & (F.length(c) == F.length(q)), 0).when(p == 0, 1).when(F.array_contains(starts, p), 2).otherwise(3)
-    return F.array_min(F.transform(F.filter(places, valid), tier))
+    whole = lambda p: F.array_contains(starts, p + F.length(q)) | (p + F.length(q) == F.length(c))
+    places = F.sequence(F.lit(1), F.greatest(F.length(c) - F.length(q), F.lit(1)))
+    return (
+        F.when(c == q, 0)
+        .when(F.startswith(c, q), 1)
+        .when(F.exists(starts, lambda p: (p > 0) & here(p) & (~unasked(p) | whole(p))), 2)
+        .when(F.exists(places, lambda p: here(p) & ~unasked(p)), 3)
+    )
 
 
 def _grams(text: str):  # noqa: ANN202
@@ -77,9 +84,11 @@ def search_headwords(headwords: DataFrame, queries: DataFrame, phrases: DataFram
 
     phrases: phrase_id, parent_id; words: id, word.
     """
-    found = matches(headwords, queries).withColumn("is_phrase", F.col("kind") == "phrase")
+    # narrow rows are ranked; what is shown is joined to those that stay
+    found = matches(headwords, queries).select("query_id", "tier", (F.col("kind") == "phrase").alias("is_phrase"), "kind", "line")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "is_phrase", "line"))
-    top = found.withColumn("rank", rank).where(F.col("rank") <= LIMIT)
+    shown = headwords.select("kind", "line", "display")
+    top = found.withColumn("rank", rank).where(F.col("rank") <= LIMIT).join(shown, ["kind", "line"])
     if phrases is not None:
         parents = phrases.select(F.col("phrase_id").alias("line"), F.col("parent_id")).withColumn("kind", F.lit("phrase"))
         top = top.join(parents, ["kind", "line"], "left")
