@@ -18,6 +18,7 @@ from glossa.operators import corpus, entries, headwords, index, meanings, state
 from glossa.plans import sql as S
 from glossa.sources import corpus_files, queries as query_sources, sql_dump
 from glossa.sources.shared import materialised
+from glossa.streaming.history import history_table, run_history
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -394,6 +395,14 @@ def headword_matches_by_scan(spark: SparkSession, d: str) -> DataFrame:
     return headwords.matches(_heads(spark, d)[0], _queries(spark, HEAD_QUERIES), broadcast_limit=100).select("query_id", "kind", "line", F.col("tier").cast("int").alias("tier"))
 
 
+@registered(f"""SELECT e.event_id AS query_id, p.p_partkey AS id FROM (SELECT event_id, {S.compact("props")} AS c FROM events) e JOIN (SELECT p_partkey, '{{k: ' || p_partkey || '}}' AS name FROM part) p ON {S.compact("p.name")} = c""")
+def typed_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Typed texts as queries: each event's text is looked up among the parts' keys."""
+    typed = query_sources.query_texts(_table(spark, d, "events"), "event_id", "props")
+    names = _table(spark, d, "part").select("p_partkey", F.concat(F.lit("{k: "), "p_partkey", F.lit("}")).alias("name"))
+    return headwords.lookup(corpus.headword_list(names, "p_partkey", "name", "entry"), typed)
+
+
 @registered(f"WITH {_HEADS} SELECT query_id, line AS id FROM qs JOIN heads ON kind = 'entry' AND c = qc")
 def headword_lookup(spark: SparkSession, d: str) -> DataFrame:
     return headwords.lookup(_heads(spark, d)[0], _queries(spark, HEAD_QUERIES))
@@ -630,6 +639,20 @@ def history_top40(spark: SparkSession, d: str) -> DataFrame:
     return state.history(_log(spark, d))
 
 
+@registered(f"WITH {_LOG} " + _HISTORY.format(log="log", k=40))
+def history_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same view kept up by a stream of the events."""
+    from glossa.sources.shared import shared_dir
+
+    at = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    arrived = _table(spark, d, "events")
+    arrived.repartition(4, "event_id").write.parquet(f"{at}/arriving")
+    events = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/arriving")
+    item = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    run_history(events.select("event_id", "ts", "user_id", item.alias("item_id")), f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    return history_table(spark, f"{at}/rows/*")
+
+
 @registered(f"WITH {_LOG} " + _HISTORY.format(log="log", k=24))
 def history_strip(spark: SparkSession, d: str) -> DataFrame:
     return state.history(_log(spark, d), state.STRIP)
