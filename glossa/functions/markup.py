@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import TAG, WIDE_SPACE, Text, _c, clean, collapse, decode_entities, html_escape, persian_digits, replace_each
 
+# The markup of source entries and the control characters it becomes.
 BR = "(?i)<br[WS]*/?>".replace("WS", WIDE_SPACE)
 PRON = '<font color="DarkGreen"><b>([\\s\\S]*?)</font></b>'
 SENSE = f'(?i)(?:<br[{WIDE_SPACE}]*/?>[{WIDE_SPACE}]*)?<font color="Blue">◄</font>'
@@ -20,7 +21,7 @@ MAX_PHRASE, PHRASE_AHEAD = 70, 8
 
 
 def trim_wide(s: Text) -> Column:
-    return F.regexp_replace(_c(s), f"^[{WIDE_SPACE}]+|[{WIDE_SPACE}]+\\z", "")
+    return F.regexp_replace(_c(s), f"^[{WIDE_SPACE}]++|(?<![{WIDE_SPACE}])[{WIDE_SPACE}]++\\z", "")
 
 
 def _pron(inner: Column) -> Column:
@@ -40,12 +41,11 @@ def strip_markup(s: Text) -> Column:
 
 
 def tidy(s: Column) -> Column:
-    """CNV09."""
+    """CNV09: single blanks; one line break with nothing around it; nothing around sense marks, no blanks around the other marks."""
     s = F.regexp_replace(s, "[\\t\\r\\u00a0][ \\t\\r\\u00a0]*+| [ \\t\\r\\u00a0]++", " ")
-    s = F.regexp_replace(s, " ?([\\n\\x01-\\x06]) ?", "$1")
-    s = F.regexp_replace(s, "\\n*\\x01\\n*", "\u0001")
-    s = F.regexp_replace(s, "\\n{2,}", "\n")
-    return trim_wide(s)
+    s = F.regexp_replace(s, " ?\\n[ \\n]*+", "\n")
+    s = F.regexp_replace(s, "[ \\n]?\\x01[ \\n]?", "\u0001")
+    return trim_wide(F.regexp_replace(s, " ?([\\x02-\\x06]) ?", "$1"))
 
 
 def convert(html: Text) -> Column:
