@@ -81,13 +81,21 @@ def share_list(member_rows: DataFrame, words: DataFrame, title: str, credit: str
     return rows.groupBy("user_id", "list_id").agg(F.concat(F.lit(f"{title}\n\n"), items, F.lit(f"\n\n{credit}")).alias("text"))
 
 
+def settings(events: DataFrame) -> DataFrame:
+    """STA08: user_id, theme, font: each user's last values over the defaults; values that are null or no number for the font count as not set."""
+    at = F.struct("ts", "event_id")
+    last = lambda key, value: F.max_by(F.when(F.col("key") == key, value), F.when((F.col("key") == key) & value.isNotNull(), at))
+    set_ = events.groupBy("user_id").agg(last("theme", F.col("value")).alias("theme"), last("font", F.col("value").try_cast("double")).alias("font"))
+    return set_.select("user_id", F.coalesce("theme", F.lit("system")).alias("theme"), F.coalesce("font", F.lit(1.0)).alias("font"))
+
+
 STATE_SCHEMA = "lists array<struct<id:string,name:string,items:array<struct<id:bigint,w:string,t:bigint>>>>, history array<struct<id:bigint,w:string,t:bigint>>, settings struct<theme:string,font:double>"
 
 
 def load_state(df: DataFrame, json: str = "json") -> DataFrame:
     """SRC11: the saved state over the defaults; favourites come back if missing, what can't be read is all defaults."""
     s = F.from_json(F.col(json), STATE_SCHEMA)
-    blank = F.from_json(F.lit(f'{{"lists":[{{"id":"{FAVOURITES}","name":"favourites","items":[]}}],"history":[],"settings":{{"theme":"auto","font":1.0}}}}'), STATE_SCHEMA)
+    blank = F.from_json(F.lit(f'{{"lists":[{{"id":"{FAVOURITES}","name":"favourites","items":[]}}],"history":[],"settings":{{"theme":"system","font":1.0}}}}'), STATE_SCHEMA)
     kept = F.coalesce(s["lists"], blank["lists"])
     kept = F.when(F.exists(kept, lambda x: x["id"] == FAVOURITES), kept).otherwise(F.concat(blank["lists"], kept))
     style = F.struct(F.coalesce(s["settings"]["theme"], blank["settings"]["theme"]).alias("theme"), F.coalesce(s["settings"]["font"], blank["settings"]["font"]).alias("font"))

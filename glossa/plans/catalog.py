@@ -718,9 +718,25 @@ def list_admin(spark: SparkSession, d: str) -> DataFrame:
     return state.lists(e.select("event_id", "ts", "user_id", list_id.alias("list_id"), op.alias("op"), name.alias("name")))
 
 
+_SETTINGS = "CASE WHEN event_type = 'click' THEN 'theme' ELSE 'font' END AS key, CASE WHEN event_type = 'click' THEN CASE event_id % 3 WHEN 0 THEN 'dark' WHEN 1 THEN 'light' END WHEN event_id % 9 < 3 THEN 'x' ELSE CAST(event_id % 5 AS VARCHAR) END AS value"
+
+
+@registered(
+    f"""WITH s AS (SELECT event_id, ts, user_id, {_SETTINGS} FROM events WHERE event_type IN ('click', 'purchase')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, key ORDER BY ts DESC, event_id DESC) AS n FROM s WHERE value IS NOT NULL AND (key = 'theme' OR value <> 'x'))
+    SELECT u.user_id, coalesce(t.value, 'system') AS theme, coalesce(CAST(f.value AS DOUBLE), 1) AS font FROM (SELECT DISTINCT user_id FROM s) u
+    LEFT JOIN r t ON t.user_id = u.user_id AND t.key = 'theme' AND t.n = 1 LEFT JOIN r f ON f.user_id = u.user_id AND f.key = 'font' AND f.n = 1"""
+)
+def settings(spark: SparkSession, d: str) -> DataFrame:
+    e, id_ = _table(spark, d, "events").where("event_type IN ('click', 'purchase')"), F.col("event_id")
+    click = F.col("event_type") == "click"
+    value = F.when(click, F.when(id_ % 3 == 0, "dark").when(id_ % 3 == 1, "light")).when(id_ % 9 < 3, "x").otherwise((id_ % 5).cast("string"))
+    return state.settings(e.select("event_id", "ts", "user_id", F.when(click, "theme").otherwise("font").alias("key"), value.alias("value")))
+
+
 @registered(
     """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'fav' WHEN event_id % 4 = 2 THEN 'fav,b' ELSE 'fav' || CASE WHEN event_id % 4 = 1 THEN ',c' ELSE '' END END AS list_ids,
-    CASE WHEN event_id % 4 = 1 THEN 'dark' ELSE 'auto' END AS theme, CAST(CASE WHEN event_id % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_history FROM events"""
+    CASE WHEN event_id % 4 = 1 THEN 'dark' ELSE 'system' END AS theme, CAST(CASE WHEN event_id % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_history FROM events"""
 )
 def state_load(spark: SparkSession, d: str) -> DataFrame:
     """Saved states of four kinds: nothing, favourites beside another list, favourites missing, unreadable."""
