@@ -1,8 +1,13 @@
 """Connected components of a graph of links, by alternating large-star and small-star steps.
 
-Each step is an aggregation (the smallest neighbour of each node, partially aggregated before the shuffle) and a join,
-so no node's neighbours are gathered anywhere, and each round is a table in the shared folder. Nothing comes to the
-driver but the number of links and a checksum.
+Each step is an aggregation (the smallest neighbour of each node, partially aggregated before the shuffle) and a join
+that gives it to each of the node's links. The links of a hub, a node with a large share of all links, don't meet in
+one task: the few hubs (their number is bounded by the share) are broadcast, the other nodes are joined by shuffle.
+Each round is a table in the shared folder that replaces the one before. Nothing comes to the driver but the number
+of links and a checksum.
+
+Defined results: links of a node with itself and repeated links add nothing; nodes without links have no row; null
+nodes have none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import written
+from glossa.llm.common import discard, written
+
+#: A hub has at least this share of all rows, and so many; there are at most HUBS of them.
+HUBS, HUB_ROWS = 1024, 1000
+
+
+def attached(rows: DataFrame, each: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with each (one row for each key, with n_ its rows in rows), a key with a large share of the total rows by broadcast."""
+    limit = max(HUB_ROWS, -(-total // HUBS))
+    hot = each.where(F.col("n_") >= limit).drop("n_").withColumn("hot_", F.lit(True))
+    others = [c for c in hot.columns if c not in (key, "hot_")]
+    marked = rows.join(F.broadcast(hot), key, "left")
+    plain = marked.where("hot_ IS NULL").select(*rows.columns).join(each.where(F.col("n_") < limit).drop("n_"), key)
+    return plain.select(*rows.columns, *others).unionByName(marked.where("hot_").select(*rows.columns, *others))
 
 
 def _state(links: DataFrame) -> tuple:
@@ -19,18 +37,21 @@ def _state(links: DataFrame) -> tuple:
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node and component (its smallest node) of every node that has a link to another."""
-    links = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    links = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v AND u IS NOT NULL AND v IS NOT NULL").distinct())
     state = _state(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        # the smallest of each node's neighbourhood, and the node's greater neighbours
+        least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n_")))
         # large star: greater neighbours move to the smallest of the neighbourhood
-        large = links.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = attached(links.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "u", state[0]).select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = written(large.distinct())
         # small star: a node and its smaller neighbours move to the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v")
-        links = written(small.distinct())
+        down = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_")))
+        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = attached(large, down, "u", large.count()).select(F.explode(pairs).alias("x")).select("x.u", "x.v").where("u <> v")
+        before, links = links, written(small.distinct())
+        discard(before, least, large, down)
         now = _state(links)
         if now == state:
             break

@@ -9,15 +9,17 @@ Agreeing segments are equal, so both sets leave out the same ones. A segment can
 which counts for two. A cost model chooses for each group how many segments of either kind there are, E and c
 (`allocate`).
 
-Equal entries join sets into candidate clusters. Entries are combined in each batch before the shuffle (a batch sends
-one row for each entry, and links to it), so a group of copies of any size is a few rows. Clusters are verified
-exactly, in blocks of bounded size and of like set sizes; a block pair is one task's work, pairs are never rows.
-Sets that are equal are one set throughout.
+Equal entries join sets into candidate clusters. Entries are combined in each task before the shuffle (it sends each
+entry once, and links to its set), so a group of copies of any size is a few rows. They are sent in blocks, sorted and
+as differences, with as many bits as keep chance meetings rare at the table's size (`widths`); what meets by chance is
+only verified in vain. Clusters are verified exactly, in blocks of bounded size and of like set sizes; a block pair is
+one task's work, pairs are never rows. Sets that are equal are one set throughout, known by the hash of its tokens.
 
 Defined results: a text without words has an empty set and no links; with fewer words than n the whole sequence is
 its only token; A-Z are lower-cased and nothing else; null text counts as without words; a null id has no component
-(null) and takes no part; equal rows are copies; an empty table gives an empty result; other columns are not read.
-Tokens and sets are compared by 64-bit hashes.
+(null) and takes no part; equal rows are copies; rows that share an id but not the text are documents of their own,
+each with its own set and links; whole texts count, however long (a set's tokens lie in one task's memory); an empty
+table gives an empty result; other columns are not read. Tokens and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,17 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import release, slices, written
-from glossa.llm.components import components
+from glossa.llm.common import discard, over_batches, slices, written
+from glossa.llm.components import attached, components
 
 #: Sets in a verifying block, and tokens.
-BLOCK_SETS, BLOCK_TOKENS = 1024, 400_000
+BLOCK_SETS, BLOCK_TOKENS = 256, 400_000
 #: Frequent tokens that are sent to every task, at most, and how often each occurs at least.
 COMMON, MIN_COMMON = 1 << 15, 20
 #: The cost of a false candidate's token, in entries (moving it, times the share of sets that have a common passage), and
 #: the tokens that such sets share.
 FALSE_COST, PASSAGE = 0.15, 50
 
+#: Entries that a task combines and sends at once, and those that meet in one block, about.
+SENT_ENTRIES, MET_ENTRIES = 1 << 19, 1 << 21
+_GAP = 0xFFFFFFFF
+#: Bytes of text whose words are hashed together, and whose sets are made together.
+PART, SLICE = 1 << 19, 2 << 20
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -57,6 +65,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of data of about PART bytes that end before white space or with a text."""
+    cuts, n = [0], len(data)
+    while cuts[-1] < n:
+        at = cuts[-1] + PART
+        while at < n:
+            blank = np.flatnonzero(_SPACE[data[at : at + 4096]])
+            if len(blank):
+                at += int(blank[0])
+                break
+            at += 4096
+        end = offsets[np.searchsorted(offsets, min(cuts[-1] + PART, n))]  # of the text that lies there
+        cuts.append(int(min(at, end, n)))
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _words(data: np.ndarray, a: int, b: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of data[a:b] begin, and their hashes."""
+    part = data[a:b]
+    space = _SPACE[part]
+    begins = np.empty(len(part), dtype=bool)
+    begins[0] = True
+    begins[1:] = space[:-1]
+    inside = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
+    begins[inside] = True
+    starts = np.flatnonzero(begins & ~space)
+    if not len(starts):
+        return starts, np.zeros(0, dtype=np.uint64)
+    letters = np.flatnonzero(~space).astype(np.int32)
+    first = np.searchsorted(letters, starts)
+    sizes = np.diff(np.append(first, len(letters)))
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(first, sizes).astype(np.int32)
+    powers = np.cumprod(np.full(int(sizes.max()), _ODD[0], dtype=np.uint64))
+    words = np.add.reduceat((_LOWER[part[letters]].astype(np.uint64) + np.uint64(1)) * powers[place], first)
+    return starts + a, mixed(words + sizes.astype(np.uint64) * _ODD[1])
+
+
 def token_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -67,21 +112,10 @@ def token_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     none = np.zeros(0, dtype=np.uint64)
     if not len(data):
         return [none] * len(texts)
-    space = _SPACE[data]
-    begins = np.zeros(len(data), dtype=bool)
-    begins[0] = True
-    begins[1:] = space[:-1]
-    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
-    starts = np.flatnonzero(begins & ~space)
+    found = [_words(data, a, b, offsets) for a, b in _cuts(data, offsets)]
+    starts, words = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(starts):
         return [none] * len(texts)
-    letters = np.flatnonzero(~space)
-    first = np.searchsorted(letters, starts)
-    sizes = np.diff(np.append(first, len(letters)))
-    place = np.arange(len(letters)) - np.repeat(first, sizes)
-    powers = np.cumprod(np.full(int(sizes.max()), _ODD[0], dtype=np.uint64))
-    words = np.add.reduceat((_LOWER[data[letters]].astype(np.uint64) + np.uint64(1)) * powers[place], first)
-    words = mixed(words + sizes.astype(np.uint64) * _ODD[1])
     border = np.searchsorted(starts, offsets)
     grams = np.zeros(max(len(words) - n + 1, 0), dtype=np.uint64)
     for i in range(n):
@@ -205,14 +239,14 @@ def entries(tokens: np.ndarray, group: int, percent: int, common: np.ndarray) ->
 
 
 def set_keys(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """doc_id, n_shingles and k (the set's key) of each row."""
+    """doc_id, h (the text's hash), n_shingles and k (the set's key) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for part in slices(batch, "x", 4 << 20) for s in token_sets(part.column("x"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "k"])
+            sets = [s for part in slices(batch, "x", SLICE) for s in token_sets(part.column("x"), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], names=["doc_id", "h", "n_shingles", "k"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("x")).mapInArrow(run, "doc_id long, n_shingles long, k long")
+    return over_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("x")), run, "doc_id long, h long, n_shingles long, k long")
 
 
 def common_tokens(docs: DataFrame, text: str, n: int) -> np.ndarray:
@@ -223,90 +257,151 @@ def common_tokens(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "x", 4 << 20):
+            for part in slices(batch, "x", SLICE):
                 sets = [t for t in token_sets(part.column("x"), n) if len(t)]
                 if sets:
                     token, times = np.unique(np.concatenate(sets), return_counts=True)
                     often = times >= 3
                     yield pa.RecordBatch.from_arrays([pa.array(token[often].astype(np.int64)), pa.array(times[often].astype(np.int64))], names=["token", "times"])
 
-    counted = docs.select(F.col(text).alias("x")).where(F.col("x").isNotNull()).mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    counted = over_batches(docs.select(F.col(text).alias("x")).where(F.col("x").isNotNull()), run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     top = counted.where(F.col("times") >= MIN_COMMON).orderBy(F.col("times").desc(), "token").limit(COMMON)
     return np.sort(np.array(top.toArrow().column("token").to_pylist(), dtype=np.int64).astype(np.uint64))
 
 
-def candidate_links(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """Links a, b between nodes (a set in a group) whose entries meet: each to the first of its entry."""
-
+def widths(sets: int, tokens: int) -> tuple[int, int]:
+    """The bits of an entry and the bytes of a node that keep chance meetings under a thousandth of the sets."""
+    entries_, sets = max(tokens + 8 * sets, 2), max(sets, 1)
+    bits = math.ceil(2 * math.log2(entries_) - math.log2(sets) + 9)
+    return min(max(bits, 40), 64), min(max(math.ceil((math.log2(2 * sets) + 10) / 8), 4), 8)
+
+
+def _blocks(sig: np.ndarray, node: np.ndarray, bucket: np.ndarray, node_bytes: int) -> pa.RecordBatch:
+    """Sorted entries and their nodes, a row for each bucket: the first entry, the differences of the next ones, the nodes."""
+    head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    step = np.diff(sig, prepend=sig[:1])
+    step[head] = 0
+    gaps = step // np.uint64(_GAP)  # a difference of four bytes and more is led by so many marks
+    size = gaps.astype(np.int64) + 1
+    size[head] = 0
+    steps = np.full(int(size.sum()), _GAP, dtype=np.uint32)
+    ends = np.cumsum(size)
+    rest = size > 0
+    steps[ends[rest] - 1] = (step % np.uint64(_GAP))[rest]
+    at = np.append(head, len(sig))
+    step_at = np.append(0, ends)[at]
+    blob = lambda data, offsets: pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
+    nodes = np.ascontiguousarray(node.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :node_bytes]).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int64)), pa.array(sig[head].view(np.int64)), blob(steps.tobytes(), step_at * 4), blob(nodes, at * node_bytes)], names=_BLOCK)
+
+
+_BLOCK = ["bucket", "first", "steps", "nodes"]
+
+
+def _read(first: int, steps: bytes, nodes: bytes, node_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries and nodes of a block."""
+    step = np.frombuffer(steps, dtype=np.uint32)
+    sig = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(step, dtype=np.uint64)]) + np.uint64(first & (1 << 64) - 1)
+    if len(step) and step.max() == _GAP:
+        sig = sig[np.concatenate([[True], step != _GAP])]
+    wide = np.zeros((len(sig), 8), dtype=np.uint8)
+    wide[:, :node_bytes] = np.frombuffer(nodes, dtype=np.uint8).reshape(-1, node_bytes)
+    return sig, wide.view("<u8")[:, 0]
+
+
+def _led(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each entry in order, the first node of each, and the links of its other nodes to that one."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    head = np.concatenate([[True], sig[1:] != sig[:-1]])
+    leader = np.repeat(node[head], np.diff(np.append(np.flatnonzero(head), len(sig))))
+    apart = leader != node
+    links = np.unique(np.stack([node[apart], leader[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), dtype=np.uint64)
+    return sig[head], node[head], links
+
+
+def candidate_links(docs: DataFrame, text: str, n: int, percent: int, sets: int, tokens: int) -> DataFrame:
+    """Links a, b between nodes (a set in a group, cut to the width of a node) whose entries meet: each to the first of its entry."""
     common = common_tokens(docs, text, n)
-
-    def combined(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One (entry, node) for each entry, and the links of its other nodes to that one."""
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        head = np.concatenate([[True], sig[1:] != sig[:-1]])
-        leader = np.repeat(node[head], np.diff(np.append(np.flatnonzero(head), len(sig))))
-        apart = leader != node
-        links = np.unique(np.stack([node[apart], leader[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), dtype=np.int64)
-        return sig[head], node[head], links
+    bits, node_bytes = widths(sets, tokens)
+    dealt = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(dealt, (tokens + 8 * sets) // MET_ENTRIES)
+    cut = np.uint64(64 - bits), np.uint64(64 - 8 * node_bytes)
+
+    def sent(sigs: list[np.ndarray], nodes: list[tuple[int, int]], counts: list[int]) -> Iterator[pa.RecordBatch]:
+        node = np.repeat(node_of(*np.array(nodes, dtype=np.int64).T).view(np.uint64) >> cut[1], counts)
+        sig, node, links = _led(np.concatenate(sigs).view(np.uint64) >> cut[0], node)
+        top = sig >> np.uint64(bits - 32)
+        yield _blocks(sig, node, top * np.uint64(buckets) >> np.uint64(32), node_bytes)
+        parts = [links[i : i + 4096] for i in range(0, len(links), 4096)]
+        if parts:
+            deal = [int(x[0, 0]) % buckets for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(deal, pa.int64()), pa.array([None] * len(parts), pa.int64()), pa.array([None] * len(parts), pa.binary()), pa.array([x.astype("<u8").tobytes() for x in parts], pa.binary())], names=_BLOCK)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        sigs, nodes, counts, many = [], [], [], 0
         for batch in batches:
-            for part in slices(batch, "x", 4 << 20):
-                sigs, nodes, counts = [], [], []
-                for tokens in token_sets(part.column("x"), n):
-                    if not len(tokens) or (key := set_key(tokens)) in seen:
+            for part in slices(batch, "x", SLICE):
+                for found in token_sets(part.column("x"), n):
+                    if not len(found) or (key := set_key(found)) in seen:
                         continue
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(key)
-                    band = int(np.searchsorted(bands(percent), len(tokens)))
+                    band = int(np.searchsorted(bands(percent), len(found)))
                     for group in (band, band + 1):
-                        e = entries(tokens, group, percent, common)
+                        e = entries(found, group, percent, common)
                         sigs.append(e)
                         nodes.append((key, group))
                         counts.append(len(e))
-                if sigs:
-                    sig, node, links = combined(np.concatenate(sigs), np.repeat(node_of(*np.array(nodes, dtype=np.int64).T), counts))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(len(sig), dtype=bool), np.ones(len(links), dtype=bool)])), pa.array(np.concatenate([sig, links[:, 0]])), pa.array(np.concatenate([node, links[:, 1]]))], names=["link", "a", "b"])
+                        many += len(e)
+                    if many >= SENT_ENTRIES:
+                        yield from sent(sigs, nodes, counts)
+                        sigs, nodes, counts, many = [], [], [], 0
+        if many:
+            yield from sent(sigs, nodes, counts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig, leader = None, None
+        def told(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype("<u8").view(np.int64)) for i in (0, 1)], names=["a", "b"])
+
+        now, held = None, []
         for batch in batches:
-            link, a, b = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("link", "a", "b"))
-            out = [np.stack([a[link], b[link]], axis=1)]
-            sig, node = a[~link], b[~link]
-            if len(sig):
-                head = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
-                own = np.flatnonzero(head)
-                firsts = np.concatenate([[leader if leader is not None else 0], node[own]])
-                lead = firsts[np.cumsum(head)]
-                apart = lead != node
-                out.append(np.stack([node[apart], lead[apart]], axis=1))
-                last_sig, leader = sig[-1], lead[-1]
-            pairs = np.unique(np.concatenate(out), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    sent = docs.select(F.col(text).alias("x")).where(F.col("x").isNotNull()).mapInArrow(emit, "link boolean, a long, b long")
-    return sent.repartition("link", "a").sortWithinPartitions("link", "a", "b").mapInArrow(meet, "a long, b long").distinct()
-
-
-def _verified(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: task, side, rep, copies, band, group, tokens. Links that connect the sets of a task, and links counted per set.
+            for bucket, first, steps, nodes in zip(*(batch.column(c).to_pylist() for c in _BLOCK), strict=True):
+                if steps is None:
+                    yield told(np.frombuffer(nodes, dtype="<u8").reshape(-1, 2))
+                    continue
+                if bucket != now and held:
+                    links = _led(*map(np.concatenate, zip(*held, strict=True)))[2]
+                    if len(links):
+                        yield told(links)
+                    held = []
+                now = bucket
+                held.append(_read(first, steps, nodes, node_bytes))
+        if held:
+            links = _led(*map(np.concatenate, zip(*held, strict=True)))[2]
+            if len(links):
+                yield told(links)
+
+    blocks = over_batches(docs.select(F.col(text).alias("x")).where(F.col("x").isNotNull()), emit, "bucket long, first long, steps binary, nodes binary")
+    return over_batches(blocks.repartition("bucket").sortWithinPartitions("bucket"), meet, "a long, b long").distinct()
+
+
+def _verified(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """rows: task, side, k, copies, band, group, x (a text with this set). Links that connect the sets of a task, and links counted per set.
 
     Of a pair only the group of the larger set's band counts, so each pair is told once.
     """
 
     def verify(sets: list[dict]) -> Iterator[tuple[int, int, int]]:
-        sets.sort(key=lambda r: (len(r["tokens"]), r["rep"]))
+        sets.sort(key=lambda r: (len(r["tokens"]), r["k"]))
         m = len(sets)
-        tokens = [np.frombuffer(r["tokens"], dtype=np.uint64) for r in sets]
+        tokens = [r["tokens"] for r in sets]
         size = np.array([len(t) for t in tokens])
         distinct, index = np.unique(np.concatenate(tokens), return_inverse=True)
         starts = np.cumsum(size) - size
-        band, side, rep, copies = (np.array([r[c] for r in sets]) for c in ("band", "side", "rep", "copies"))
+        band, side, key, copies = (np.array([r[c] for r in sets]) for c in ("band", "side", "k", "copies"))
         group, two = sets[0]["group"], len({r["side"] for r in sets}) > 1
         mark = np.zeros(len(distinct), dtype=np.int64)
         degree = np.zeros(m, dtype=np.int64)
@@ -337,9 +432,9 @@ def _verified(rows: DataFrame, percent: int) -> DataFrame:
                 a, b = find(i), find(j)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-                    yield int(rep[i]), int(rep[j]), 0
+                    yield int(key[i]), int(key[j]), 0
         for i in np.flatnonzero(degree).tolist():
-            yield int(rep[i]), 0, int(degree[i])
+            yield int(key[i]), 0, int(degree[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
@@ -350,12 +445,15 @@ def _verified(rows: DataFrame, percent: int) -> DataFrame:
 
         out: list[tuple[int, int, int]] = []
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["task"] != task:
-                    if len(held) > 1:
-                        out += verify(held)
-                    task, held = r["task"], []
-                held.append(r | {"tokens": np.frombuffer(r["tokens"], dtype=np.uint64)})
+            for part in slices(batch, "x", SLICE):
+                found = token_sets(part.column("x"), n)
+                for r, tokens in zip(part.drop_columns(["x"]).to_pylist(), found, strict=True):
+                    if r["task"] != task:
+                        if len(held) > 1:
+                            out += verify(held)
+                        task, held = r["task"], []
+                    if not held or held[-1]["k"] != r["k"]:  # repeated rows of a document come one after another
+                        held.append(r | {"tokens": tokens})
             if len(out) > 10_000:
                 yield told(out)
                 out = []
@@ -364,16 +462,20 @@ def _verified(rows: DataFrame, percent: int) -> DataFrame:
         if out:
             yield told(out)
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, links long")
+    return over_batches(rows.repartition("task").sortWithinPartitions("task", "k"), run, "a long, b long, links long")
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id and n_links (rows linked to it, copies included)."""
+def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, h, n_shingles, k), and of each set k, n_shingles, its class (the smallest key of its sets), the class's least_id, and links."""
     keys = written(set_keys(docs, doc_id, text, n))
-    candidates = written(candidate_links(docs.where(F.col(doc_id).isNotNull()), text, n, percent))
-    release(docs.sparkSession)
+    sound = docs.where(F.col(doc_id).isNotNull())
+    # a set's text is that of its row with the smallest id
+    sets = keys.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("h", "doc_id").alias("h"), F.count("*").alias("copies"))
+    sets = written(sets)
+    many, tokens = sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).head()
+    candidates = written(candidate_links(sound, text, n, percent, many, tokens))
     clusters = written(components(candidates, "a", "b"))
-    sets = written(keys.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    cut = np.uint64(64 - 8 * widths(many, tokens)[1])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each set's node in either group of its band."""
@@ -381,45 +483,67 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
             k, size = np.asarray(batch.column("k")), np.asarray(batch.column("n_shingles"))
             band = np.searchsorted(bands(percent), size)
             for more in (0, 1):
-                node = node_of(k, band + more)
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("n_shingles"), pa.array(band.astype(np.int32)), pa.array((band + more).astype(np.int32)), pa.array(node)], names=["rep", "copies", "size", "band", "group", "node"])
+                node = (node_of(k, band + more).view(np.uint64) >> cut).view(np.int64)
+                own = [batch.column(c) for c in ("k", "rep", "h", "copies", "n_shingles")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(band.astype(np.int32)), pa.array((band + more).astype(np.int32)), pa.array(node)], names=["k", "rep", "h", "copies", "size", "band", "group", "node"])
 
-    placed = sets.mapInArrow(nodes, "rep long, copies long, size long, band int, group int, node long").join(clusters, "node").drop("node").withColumnRenamed("component", "cluster")
+    placed = over_batches(sets.select("k", "rep", "h", "copies", "n_shingles"), nodes, "k long, rep long, h long, copies long, size long, band int, group int, node long").join(clusters, "node")
+    # nodes of different groups may have one number
+    placed = placed.withColumn("cluster", F.xxhash64("component", "group")).drop("node", "component")
     # blocks of like sizes; the step is a quarter of the linked sizes' ratio
     step = F.floor(F.log("size") * (4 / math.log(100 / percent))).cast("int")
     placed = written(placed.withColumn("step", step))
-    cells = placed.groupBy("cluster", "step").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens"), F.max((F.col("band") == F.col("group")).cast("int")).alias("upper"))
-    cells = written(cells.withColumn("salts", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int")))
-    whole = cells.groupBy("cluster").agg(F.sum("sets").alias("all_sets"), F.sum("tokens").alias("all_tokens"), F.max("upper").alias("any_upper")).where("any_upper = 1")
+    counted = placed.groupBy("cluster", "step").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens"), F.max((F.col("band") == F.col("group")).cast("int")).alias("upper"))
+    counted = written(counted.withColumn("salts", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int")))
+    whole = counted.groupBy("cluster").agg(F.sum("sets").alias("all_sets"), F.sum("tokens").alias("all_tokens"), F.max("upper").alias("any_upper")).where("any_upper = 1 AND all_sets > 1")
     small = (F.col("all_sets") <= BLOCK_SETS) & (F.col("all_tokens") <= BLOCK_TOKENS)
     # pairs count in the group of the larger set's band: a cluster without such a set has none of its own
-    cells = written(cells.join(whole, "cluster").select("cluster", "step", "salts", small.alias("small")))
+    cells = written(counted.join(whole, "cluster").select("cluster", "step", "salts", small.alias("small")))
     blocks = cells.where(~F.col("small")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("cluster", "step", "salt")
     other = blocks.select("cluster", F.col("step").alias("step2"), F.col("salt").alias("salt2"))
-    # a block meets itself and the later blocks that hold sizes near enough
-    near = blocks.join(other, "cluster").where("(step2 = step AND salt2 >= salt) OR (step2 > step AND step2 <= step + 5)")
+    # a block meets itself and the later blocks that hold sizes near enough, of its own step and the next five
+    near = blocks.withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("step2", F.col("step") + F.col("ahead"))
+    near = near.join(other, ["cluster", "step2"]).where("ahead > 0 OR salt2 >= salt")
     near = near.withColumn("task", F.xxhash64("cluster", "step", "salt", "step2", "salt2"))
     alone = F.col("step").eqNullSafe(F.col("step2")) & F.col("salt").eqNullSafe(F.col("salt2"))
     meets = written(near.select("cluster", "step", "salt", "task", F.lit(0).alias("side")).unionByName(near.where(~alone).select("cluster", F.col("step2").alias("step"), F.col("salt2").alias("salt"), "task", F.lit(1).alias("side"))))
-    dealt = placed.join(cells, ["cluster", "step"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
-    tasks = dealt.where("small").select("rep", "copies", "band", "group", F.col("cluster").alias("task"), F.lit(0).alias("side"))
-    tasks = tasks.unionByName(dealt.where("not small").join(meets, ["cluster", "step", "salt"]).select("rep", "copies", "band", "group", "task", "side"))
-    tasks = written(tasks)
-    wanted = written(tasks.select(F.col("rep").alias("doc_id")).distinct())
+    dealt = placed.join(cells, ["cluster", "step"]).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
+    own = ["k", "rep", "h", "copies", "band", "group"]
+    tasks = dealt.where("small").select(*own, F.col("cluster").alias("task"), F.lit(0).alias("side"))
+    tasks = written(tasks.unionByName(dealt.where("not small").join(meets, ["cluster", "step", "salt"]).select(*own, "task", "side")))
+    texts = sound.select(F.col(doc_id).cast("long").alias("rep"), F.xxhash64(text).alias("h"), F.col(text).alias("x"))
+    # every text moves once, at any size: tasks grow with the table, so they aren't sent to all
+    found = written(_verified(texts.join(tasks.hint("merge"), ["rep", "h"]).select("task", "side", "k", "copies", "band", "group", "x"), n, percent))
+    discard(candidates, clusters, placed, counted, cells, meets, tasks)
+    linked = components(found.where("links = 0"), "a", "b").select(F.col("node").alias("k"), "component")
+    degrees = found.where("links > 0").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
+    of_set = sets.join(linked, "k", "left").join(degrees, "k", "left").select("k", "n_shingles", "rep", F.coalesce("component", "k").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    of_set = written(of_set)
+    least = written(of_set.groupBy("class").agg(F.min("rep").alias("least_id"), F.count("*").alias("n_")))
+    classes = written(attached(of_set.drop("rep"), least, "class", many))
+    discard(found, sets, of_set, least)
+    return keys, classes
 
-    def with_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "x", 4 << 20):
-                found = [t.tobytes() for t in token_sets(part.column("x"), n)]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(found, pa.binary())], names=["rep", "tokens"])
-
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("x")).join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "x")
-    tokens = written(texts.mapInArrow(with_tokens, "rep long, tokens binary").withColumn("k", F.length("tokens")).groupBy("rep").agg(F.max_by("tokens", "k").alias("tokens")))
-    found = written(_verified(tasks.join(tokens, "rep"), percent))
-    release(docs.sparkSession)
-    linked = components(found.where("links = 0"), "a", "b").select(F.col("node").alias("rep"), "component")
-    degrees = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    classes = written(sets.join(linked, "rep", "left").join(degrees, "rep", "left").select("k", "n_shingles", F.coalesce("component", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id and n_links (rows linked to it, copies included)."""
+    keys, classes = _classes(docs, doc_id, text, n, percent)
     whose = keys.join(classes, ["k", "n_shingles"], "left")
     own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    return whose.select("doc_id", "n_shingles", F.when(own, F.col("class")).otherwise(F.col("doc_id")).alias("component_id"), F.when(own, F.col("links")).otherwise(0).cast("long").alias("n_links"))
+    return whose.select("doc_id", "n_shingles", F.when(own, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(own, F.col("links")).otherwise(0).cast("long").alias("n_links"))
+
+
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without near duplicates: of each class the row with the smallest id, once. Rows without an id or without words stay."""
+    keys, classes = _classes(docs, doc_id, text, n, percent)
+    own = keys.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.select("k", "n_shingles", "class", "least_id"), ["k", "n_shingles"])
+    # of rows with the smallest id but different texts of the class, the first by the texts' hashes
+    first = own.where("doc_id = least_id").groupBy("class").agg(F.min("doc_id").alias("id_"), F.min("h").alias("h_")).select("id_", "h_")
+    first = written(first)
+    plain = keys.where("n_shingles = 0 OR doc_id IS NULL")
+    named = docs.withColumn("h_", F.xxhash64(text)).withColumn("id_", F.col(doc_id).cast("long"))
+    kept = named.join(first, ["id_", "h_"], "left_semi").dropDuplicates(["id_", "h_"])
+    if plain.isEmpty():
+        return kept.select(*docs.columns)
+    empty = written(plain.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id_"), F.col("h").alias("h_")).distinct())
+    return kept.unionByName(named.join(empty, ["id_", "h_"], "left_semi")).unionByName(named.where("id_ IS NULL")).select(*docs.columns)

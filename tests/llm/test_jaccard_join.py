@@ -16,8 +16,9 @@ def shingles(text, n):
 
 
 def brute(rows, n, percent):
+    """Rows are documents of their own, whatever their ids."""
     sets = [(i, shingles(t, n)) for i, t in rows]
-    parent = {i: i for i, _ in sets}
+    parent = list(range(len(sets)))
 
     def find(x):
         while parent[x] != x:
@@ -25,13 +26,16 @@ def brute(rows, n, percent):
         return x
 
     links = [0] * len(sets)
-    for a, (i, s) in enumerate(sets):
-        for b, (j, t) in enumerate(sets):
+    for a, (_, s) in enumerate(sets):
+        for b, (_, t) in enumerate(sets):
             if a != b and s and t and 100 * len(s & t) >= percent * len(s | t):
                 links[a] += 1
-                x, y = find(i), find(j)
+                x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    return sorted((i, len(s), find(i), links[k]) for k, (i, s) in enumerate(sets))
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return sorted((i, len(s), least[find(k)], links[k]) for k, (i, s) in enumerate(sets))
 
 
 def corpus(seed):
@@ -63,6 +67,51 @@ def test_against_all_pairs(spark, monkeypatch, n, percent, small):
     assert sorted(map(tuple, got)) == brute(rows, n, percent)
 
 
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(3)
+    base = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 4) for _ in range(60)) for _ in range(4)]
+    rows = [(1, base[0]), (1, base[1]), (2, base[0] + " x"), (3, base[1] + " y"), (1, base[0]), (3, base[2]), (7, base[2] + " z"), (7, base[3]), (5, ""), (5, base[3] + " v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jj.jaccard_join(df).collect())) == brute(rows, 4, 85)
+    kept = sorted(map(tuple, jj.first_of_each(df).collect()))
+    assert kept == sorted([(1, base[0]), (1, base[1]), (3, base[2]), (5, ""), (5, base[3] + " v")])
+
+
+def test_large_group_and_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(cc, "HUB_ROWS", 20)
+    monkeypatch.setattr(cc, "HUBS", 4)
+    monkeypatch.setattr(jj, "BLOCK_SETS", 64)
+    rng = random.Random(6)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 5) for _ in range(80)]
+    rows = [(i, " ".join(base)) for i in range(100)] + [(100 + i, " ".join(base[: 80 - i % 3] + [f"own{i}"])) for i in range(200)] + [(300 + i, f"other text {i} " * 5) for i in range(50)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, jj.jaccard_join(df).collect())) == brute(rows, 4, 85)
+    assert sorted(r["doc_id"] for r in jj.first_of_each(df, n=4, percent=85).collect()) == [0, *range(300, 350)]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(1000)}x{i % 997}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[1000:])), (3, " ".join(words[:100_000])), (4, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jj.jaccard_join(df).collect())) == brute(rows, 4, 85)
+
+
+def test_blocks_are_read_as_written():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for bits in (40, 50, 64):
+        for n in (1, 2, 700):
+            sig = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64) >> np.uint64(64 - bits))
+            node = rng.integers(0, 1 << 40, len(sig), dtype=np.uint64)
+            bucket = (sig >> np.uint64(bits - 32)) * np.uint64(1000) >> np.uint64(32)
+            rows = jj._blocks(sig, node, bucket, 5).to_pylist()
+            back = [jj._read(r["first"], r["steps"], r["nodes"], 5) for r in rows]
+            assert np.array_equal(np.concatenate([x for x, _ in back]), sig) and np.array_equal(np.concatenate([x for _, x in back]), node)
+
+
 def test_linked_sets_share_an_entry():
     import numpy as np
 
