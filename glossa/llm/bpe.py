@@ -33,7 +33,7 @@ _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Chunks that a worker keeps.
 KEPT_CHUNKS = 200_000
 #: Bytes of text that are split into chunks at once.
-SLICE = 3 << 20
+SLICE = 1 << 20
 _NONE = np.iinfo(np.int64).max
 
 

@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import slices
+from glossa.llm.common import over_batches, slices
 
 DIM = 1024
 SEED = 7
 UNKNOWN = "und"
 #: Turns differences of cosines into a score.
 SHARPNESS = 40.0
-#: Trigram vectors that a worker keeps.
-KEPT = 30_000
+#: Trigram vectors that a worker keeps, and those that are added up at once.
+KEPT, ROWS = 30_000, 4_000
 _BITS = 21
 
 
@@ -86,8 +86,8 @@ class Encoder:
         """The sum of the trigrams' vectors (whole numbers, exact in doubles)."""
         out = np.zeros(self.dim)
         kind = np.float32 if counts.sum() < 1 << 24 else np.float64  # either is exact
-        for i in range(0, len(keys), 20_000):
-            part = slice(i, i + 20_000)
+        for i in range(0, len(keys), ROWS):
+            part = slice(i, i + ROWS)
             rows = self.rows(keys[part])  # may make the table anew
             out += counts[part].astype(kind) @ self.vectors[rows].astype(kind)
         return out
@@ -121,7 +121,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(v)), pa.array(np.arange(len(v)), pa.int32()), pa.array(v.astype(np.int64))], names=["g", "i", "v"])
 
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("x"), F.col(lang).alias("g"))
-    sums = rows.mapInArrow(run, "g string, i int, v long").groupBy("g", "i").agg(F.sum("v").alias("v"))
+    sums = over_batches(rows, run, "g string, i int, v long").groupBy("g", "i").agg(F.sum("v").alias("v"))
     vectors = sums.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v"))
     return {r["g"]: [x["v"] for x in r["v"]] for r in vectors.toLocalIterator()}
 
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, bundles: dict[str, list[int]], keep: list[str], tex
             found = [one(enc, t) for part in slices(batch, "x_") for t in part.column("x_").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*(f"k{i}" for i in range(len(keep))), "lang_pred", "score"])
 
-    return frame.mapInArrow(run, f"{kinds}lang_pred string, score double").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return over_batches(frame, run, f"{kinds}lang_pred string, score double").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

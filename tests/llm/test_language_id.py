@@ -96,3 +96,13 @@ def test_against_the_definition(spark):
     got = {r["i"]: (r["lang_pred"], r["score"]) for r in lid.predict(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), bundles, ["i"]).collect()}
     for i, (lang, score) in enumerate(by_hand(train, texts)):
         assert got[i][0] == lang and abs(got[i][1] - score) < 1e-6
+
+
+def test_repeated_rows_and_a_language_with_most_rows(spark):
+    rows = [("the thing and of", "aa")] * 500 + [("der die und", "bb")] * 3
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    bundles = lid.train(df)
+    once = lid.train(df.distinct())
+    assert [500 * x for x in once["aa"]] == bundles["aa"] and [3 * x for x in once["bb"]] == bundles["bb"]
+    got = lid.predict(df, bundles, ["lang"]).collect()
+    assert len(got) == 503 and all(r["lang_pred"] == r["lang"] for r in got) and len({(r["lang"], r["score"]) for r in got}) == 2
