@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import math
+import random
+import time
+from collections import Counter, defaultdict
+
 from glossa.llm import html_extract as he
 
 
@@ -62,3 +67,106 @@ def test_the_tree_judges_inside_and_outside_of_articles(spark):
     assert [got[100 + i] for i in range(20)] == [f"teaser\n\nlong own text {i}" for i in range(20)]
     assert [got[200 + i] for i in range(40)] == [f"text {max(i, 30)} of its own\n\nmore {max(i, 30)}" for i in range(40)]
     assert got[300] == "text 1 of its own\n\nmore 2\n\nthe same box in every article"
+
+
+def test_names_of_an_articles_own_parts_stay():
+    page = "<article><p>He said <span class='notice'>look</span> here.</p><div class='related-work'>Others did.</div><section class='discussion'>We think.</section></article>"
+    assert text(page) == "He said look here.\n\nOthers did.\n\nWe think."
+    assert text("<div class='notice'>x</div><p>y") == "y"
+    for wrapper in ("<div class='content has-sidebar'>", "<div class='entry no-comments'>", "<div class='related'>"):
+        assert text(f"{wrapper}<article class='post social-policy'><p>text</p></article></div>") == "text"
+    # an article that is a comment goes beside another one
+    assert text("<article><p>long enough text</p></article><section class='comments'><article><p>I disagree with all of it at length</p></article></section>") == "long enough text"
+
+
+def test_teasers_go():
+    page = "<main><h1>T</h1><article><p>" + "the text of the page " * 10 + "</p></article><article class=card><p>read this too</p></article></main>"
+    assert text(page) == "T\n\n" + ("the text of the page " * 10).strip()
+
+
+def test_references_are_decoded_in_each_text_node():
+    assert text("<p>&am<b>p;lt</b>;</p>") == "&amp;lt;"
+    assert text("<p>&amp;lt; &#x41;&#66;&copy &nbsp;x</p>") == "&lt; AB\u00a9 x"
+
+
+def test_broken_pages_take_time_in_proportion():
+    for make in (lambda n: "<b>" * n + "</i>" * n, lambda n: "<p>x" + "<b>" * n + "x</p>" * n, lambda n: "<p><option>" + "<b>" * n + "<div>x</div>" * n, lambda n: "<ul>" + "<li><b>x" * n, lambda n: "<div><p>" * n + "</p>" * n):
+        took = []
+        for n in (4000, 32000):
+            began = time.time()
+            he.parse(make(n))
+            took.append(time.time() - began)
+        assert took[1] < 40 * max(took[0], 0.01)
+
+
+def importance_by_hand(rows):
+    """Per site and node: pages (different articles count once each inside articles) and importance, straight from the definition."""
+    styles, texts, seen, outside = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), set()
+    once = set()
+    for site, html in rows:
+        blocks, elements = he.parse(html or "")
+        article = tuple(b.text for b in blocks if b.main and not b.hard and not b.named)
+        items = {(0, node, children, main) for node, main, children in elements} | {(1, b.node, b.text, b.main) for b in blocks}
+        items |= {(2, node, "", main) for _, node, _, main in items}
+        for kind, node, item, main in items:
+            if main:
+                if (site, kind, node, item, article) in once:
+                    continue
+                once.add((site, kind, node, item, article))
+            else:
+                outside.add((site, node))
+            (styles, texts, seen)[kind][site, node][item] += 1
+    entropy = lambda c: -sum(n / c.total() * math.log(n / c.total()) for n in c.values())
+    out = {}
+    for key, count in seen.items():
+        pages = count.total()
+        base = math.log(max(pages, 2))
+        p, t = styles[key], texts[key]
+        shape = entropy(p) / base if p else 0.0
+        # 1 - sum n ln n / (total ln pages)
+        content = 1 - sum(n * math.log(n) for n in t.values()) / t.total() / base if t else 0.0
+        out[key] = (pages, 1.0 if pages < 2 else shape if not t else he.PRESENTATION * shape + (1 - he.PRESENTATION) * content)
+    return out
+
+
+def test_importance_against_the_definition(spark):
+    rng = random.Random(7)
+    part = lambda: rng.choice(["<p>same</p>", f"<p>own {rng.random()}</p>", "<ul><li>a<li>b</ul>", f"<div class={rng.choice('ab')}>{rng.choice(['x', 'y', 'z'])}</div>", "<div class=notice>cookies</div>"])
+    rows = []
+    for i in range(120):
+        inside = "".join(part() for _ in range(rng.randrange(4)))
+        rows.append((i, f"https://{rng.choice(['a', 'b'])}.org/{i}", "".join(part() for _ in range(rng.randrange(4))) + rng.choice(["", f"<article>{inside}</article>", "<article><p>copy</p></article>"])))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["site"], r["node"]): (r["pages"], round(r["importance"], 9)) for r in he.style_tree(df).collect()}
+    sites = {r["page_id"]: r["site_"] for r in he._host(df, "url").collect()}
+    want = {k: (n, round(x, 9)) for k, (n, x) in importance_by_hand([(sites[i], html) for i, _, html in rows]).items()}
+    assert got == want and len(got) > 20
+
+
+def test_the_tree_brings_texts_nearer_to_the_truth(spark):
+    """Boxes without telling names, inside and beside the article."""
+    rows, truth = [], {}
+    for i in range(60):
+        own = [f"sentence {i} {k}" for k in range(3)]
+        rows.append((i, f"http://t.org/{i}", "<div class=x9>Welcome to our site</div><article>" + "".join(f"<p>{t}</p>" for t in own) + "<div class=q1>Our offers this week</div></article><div class=x8>Call us</div>"))
+        truth[i] = "\n\n".join(own)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in he.extract(df, ["page_id"]).collect()} == truth
+    assert all(he.main_text(h, set()) != truth[i] for i, _, h in rows)
+
+
+def test_hosts_with_many_nodes_give_the_same_texts(spark, monkeypatch):
+    df = pages(spark)
+    rows = [(300 + i, f"http://w.org/{i}", f"<body><div class=t>top</div><div class=c{i % 4}><p>own {i}</p><p>foot</p></div></body>", "x") for i in range(60)]
+    df = df.unionByName(spark.createDataFrame(rows, df.schema))
+    want = sorted(he.extract(df, ["page_id", "url"]).collect(), key=str)
+    monkeypatch.setattr(he, "LISTED", 3)
+    assert sorted(he.extract(df, ["page_id", "url"]).collect(), key=str) == want
+
+
+def test_a_host_with_most_pages_and_repeated_rows(spark):
+    rows = [(i, "http://hot.org/x", f"<div class=a>same box</div><div class=b><p>own text {i}</p></div>") for i in range(400)]
+    rows += rows[:5] + [(1000 + i, f"http://h{i}.org/", "<p>alone</p>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    got = sorted((r["page_id"], r["text"]) for r in he.extract(df, ["page_id"]).collect())
+    assert got == sorted([(i, f"own text {i}") for i in [*range(400), *range(5)]] + [(1000 + i, "alone") for i in range(40)])
