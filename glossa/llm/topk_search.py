@@ -4,14 +4,19 @@ Method: norm-sorted inner products. Vectors lie in chunks by descending length a
 vectors of the whole table, so that the first coordinates carry most of a product. For each query a chunk is passed
 over if |q| times its longest vector is below the k-th score so far (Cauchy-Schwarz); in a chunk, the partial sum over
 the first coordinates plus the product of the residual lengths bounds each score, and only what the bound leaves gets
-its exact whole-number product. The chunk of the longest vectors is searched first and gives each query its threshold.
+its exact whole-number product. The longest vectors, a few MB, are broadcast and searched first, where each block of
+queries lies; they give each query its k-th score and id, and each block the last chunk it needs. Only numbers of
+blocks and chunks are paired then; vectors follow to the pairs that the bound leaves, a chunk meeting its blocks in
+groups of bounded size. What doesn't come before a query's k-th score and id isn't told, so copies of one vector are
+k results for a query, in whatever chunks they lie.
 
-The singular vectors come from the sum of outer products over all rows (a d x d matrix). Query blocks are dealt to
-chunks; a task holds one chunk and one query block at a time. One row per chunk of vectors comes to the driver.
+The singular vectors come from the sum of outer products over all rows (a d x d matrix). One row per chunk of vectors
+(4,096) comes to the driver.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; vectors of
 different dimension don't meet; equal scores rank by smaller id; a query isn't its own result (rows with its id); rows
-with a null id take no part; an empty table gives an empty result; other columns are not read.
+with a null id take no part; repeated rows each are results; components beyond 2^62 and scores beyond the range of
+long are held to that range; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import written
+from glossa.llm.common import discard, over_batches, written
 
-SCALE = 64
+SCALE, LARGEST = 64, 1 << 62
 CHUNK, QUERY_BLOCK, STEP = 4096, 512, 512
+#: The longest vectors that are broadcast: so many of a dimension, and so many bytes in all.
+HEAD, HEAD_BYTES = 4096, 16 << 20
+#: Blocks of queries that meet a chunk in one group, about.
+GROUP = 64
+_NONE = np.iinfo(np.int64).min
 _PACKED = pa.schema([("raw", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("data", pa.binary())])
 _PACKED_SQL = "raw long, dim int, n int, longest double, ids binary, data binary"
 
@@ -36,7 +46,8 @@ def whole_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     sound = ~F.exists("v_", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (F.size("v_") > 0)
     rows = df.select(F.col(vec_id).cast("long").alias("id"), v.alias("v_")).where(F.col("id").isNotNull() & F.col("v_").isNotNull()).where(sound)
-    rows = rows.select("id", F.transform("v_", lambda x: F.floor(x * SCALE).cast("long")).alias("v"))
+    held = lambda x: F.greatest(F.least(F.floor(x), F.lit(float(LARGEST))), F.lit(-float(LARGEST))).cast("long")
+    rows = rows.select("id", F.transform("v_", lambda x: held(x * SCALE)).alias("v"))
     return rows.select("id", "v", F.size("v").alias("dim"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("length"))
 
 
@@ -58,7 +69,7 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
         for d, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d), pa.int32()), pa.array(np.arange(d * d), pa.int32()), pa.array(s.ravel())], names=["dim", "i", "x"])
 
-    cells = vectors.select("v", "dim").mapInArrow(outer, "dim int, i int, x double").groupBy("dim", "i").agg(F.sum("x").alias("x")).toArrow()
+    cells = over_batches(vectors.select("v", "dim"), outer, "dim int, i int, x double").groupBy("dim", "i").agg(F.sum("x").alias("x")).toArrow()
     out = {}
     dim, i, x = (np.asarray(cells.column(c).combine_chunks()) for c in ("dim", "i", "x"))
     for d in np.unique(dim).tolist():
@@ -85,87 +96,177 @@ def _packed(rows: DataFrame, limit: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, _PACKED.types, strict=True)], schema=_PACKED)
                     raw += 1
 
-    return rows.mapInArrow(run, _PACKED_SQL)
+    return over_batches(rows, run, _PACKED_SQL)
 
 
 class _Chunk:
     """Vectors with their rotated heads and residual lengths, longest first."""
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray, rotation: np.ndarray):
-        order = np.argsort(-np.linalg.norm(data.astype(np.float64), axis=1), kind="stable")
-        self.ids, self.whole = ids[order], data[order]
-        self.exact = self.whole.astype(np.float64)
+    def __init__(self, ids: np.ndarray, data: np.ndarray, rotation: np.ndarray, ordered: bool = True):
+        self.exact = data.astype(np.float64)
+        self.length = np.linalg.norm(self.exact, axis=1)
+        self.ids, self.whole = ids, data
+        if ordered:
+            order = np.argsort(-self.length, kind="stable")
+            self.exact, self.length, self.ids, self.whole = (x[order] for x in (self.exact, self.length, ids, data))
         turned = self.exact @ rotation
         self.h = max(1, data.shape[1] // 4)
         self.head, self.rest = turned[:, : self.h], np.linalg.norm(turned[:, self.h :], axis=1)
-        self.length = np.linalg.norm(self.exact, axis=1)
         self.small = float(np.abs(self.exact).max(initial=0)) ** 2 * data.shape[1] < 2**52
 
 
-def search(queries: _Chunk, chunk: _Chunk, threshold: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of the query, id and score of the chunk's k best for each query, of those that reach the query's threshold."""
-    n = len(queries.ids)
-    threshold = threshold.astype(np.float64).copy()
-    got_row, got_id, got_score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+def _slack(lengths: np.ndarray, longest: float) -> np.ndarray:
+    """More than what rounding takes from a bound."""
+    return 1e-9 * (1 + lengths * longest) + 1e-6
+
+
+def _exact(queries: _Chunk, chunk: _Chunk, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The whole-number products of rows q with rows c."""
+    if queries.small and chunk.small:
+        parts = [np.einsum("ij,ij->i", queries.exact[q[i : i + 65536]], chunk.exact[c[i : i + 65536]]) for i in range(0, len(q), 65536)]
+        return np.concatenate(parts).astype(np.int64)
+    low, high = _NONE, np.iinfo(np.int64).max  # wide numbers: exact in Python's integers
+    return np.array([min(max(sum(x * y for x, y in zip(queries.whole[i].tolist(), chunk.whole[j].tolist(), strict=True)), low), high) for i, j in zip(q.tolist(), c.tolist(), strict=True)], dtype=np.int64)
+
+
+def search(queries: _Chunk, chunk: _Chunk, kth: np.ndarray, kth_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the query, id and score of the chunk's k best for each query, of those before the query's k-th score and id; the new k-th ones."""
+    kth, kth_id = kth.copy(), kth_id.copy()
+    got_row, got_id, got_score = (np.zeros(0, dtype=np.int64) for _ in range(3))
     for a in range(0, len(chunk.ids), STEP):
         part = slice(a, a + STEP)
-        longest = chunk.length[a]
-        slack = 1e-9 * (1 + queries.length * longest) + 1e-6
-        live = np.flatnonzero(queries.length * longest + slack >= threshold)
+        threshold = np.where(kth == _NONE, -np.inf, kth.astype(np.float64))
+        slack = _slack(queries.length, chunk.length[a])
+        live = np.flatnonzero(queries.length * chunk.length[a] + slack >= threshold)
         if not len(live):
             break
         bound = queries.head[live] @ chunk.head[part].T + np.outer(queries.rest[live], chunk.rest[part]) + slack[live, None]
         q, c = np.nonzero((bound >= threshold[live, None]) & (queries.ids[live, None] != chunk.ids[None, part]))
-        q = live[q]
+        q, c = live[q], a + c
         if not len(q):
             continue
-        if not (queries.small and chunk.small):  # wide numbers: exact in Python's integers
-            s = np.array([sum(int(x) * int(y) for x, y in zip(queries.whole[i], chunk.whole[a + j], strict=True)) for i, j in zip(q, c, strict=True)], dtype=np.int64)
-        elif len(q) * 4 > n * STEP:
-            s = (queries.exact @ chunk.exact[part].T)[q, c].astype(np.int64)
-        else:
-            s = np.concatenate([np.einsum("ij,ij->i", queries.exact[q[i : i + 65536]], chunk.exact[a + c[i : i + 65536]]) for i in range(0, len(q), 65536)]).astype(np.int64)
-        keep = s >= threshold[q]
-        row, ids, s = (np.concatenate(x) for x in ((got_row, q[keep]), (got_id, chunk.ids[a + c[keep]]), (got_score, s[keep])))
-        order = np.lexsort((ids, -s, row))
+        s, ids = _exact(queries, chunk, q, c), chunk.ids[c]
+        keep = (s > kth[q]) | ((s == kth[q]) & (ids <= kth_id[q]))
+        row, ids, s = (np.concatenate(x) for x in ((got_row, q[keep]), (got_id, ids[keep]), (got_score, s[keep])))
+        order = np.lexsort((ids, ~s, row))  # ~s falls as s rises, over the whole range of long
         row, ids, s = row[order], ids[order], s[order]
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, dtype=np.int64)
         place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
         best = place < k
         got_row, got_id, got_score = row[best], ids[best], s[best]
         last = place == k - 1
-        threshold[row[last]] = np.maximum(threshold[row[last]], s[last])
-    return got_row, got_id, got_score
+        kth[row[last]], kth_id[row[last]] = s[last], ids[last]
+    return got_row, got_id, got_score, kth, kth_id
+
+
+def _unpacked(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["data"], dtype="<i8").reshape(r["n"], -1)
+
+
+class _Order:
+    """The chunks of each dimension by descending length, numbered through, and the vectors to search first."""
+
+    def __init__(self, packed: DataFrame):
+        stats = packed.select("raw", "dim", "n", "longest").toArrow()
+        raw, dim, n, longest = (np.asarray(stats.column(c).combine_chunks()) for c in ("raw", "dim", "n", "longest"))
+        order = np.lexsort((raw, -longest, dim))
+        self.raw, self.longest, dim, n = raw[order], longest[order], dim[order], n[order]
+        dims = np.unique(dim)
+        #: For each dimension its first chunk, that behind the broadcast ones, and that behind all.
+        self.span: dict[int, tuple[int, int, int]] = {}
+        left, heads = HEAD_BYTES, []
+        for d in dims[np.argsort(-np.array([n[dim == d].sum() for d in dims]))].tolist() if len(dims) else []:
+            a, b = (int(x) for x in np.searchsorted(dim, [d, d + 1]))
+            behind = a
+            while behind < b and n[a:behind].sum() < HEAD and 8 * d * int(n[behind]) <= left:
+                left -= 8 * d * int(n[behind])
+                behind += 1
+            self.span[d] = (a, behind, b)
+            heads += self.raw[a:behind].tolist()
+        self.heads: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        found: dict[int, list] = {}
+        if heads:
+            for r in packed.where(F.col("raw").isin(heads)).select("dim", "n", "ids", "data").toArrow().to_pylist():
+                found.setdefault(r["dim"], []).append(_unpacked(r))
+        for d, parts in found.items():
+            self.heads[d] = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def needed(self, d: int, queries: _Chunk, kth: np.ndarray) -> int:
+        """One more than the last chunk of dimension d that some query needs."""
+        _, behind, end = self.span[d]
+        threshold = np.where(kth == _NONE, -np.inf, kth.astype(np.float64))
+        rows = self.longest[behind:end]
+        least, most = 0, len(rows)  # what a query needs of the sorted chunks is their beginning
+        while least < most:
+            middle = (least + most) // 2
+            if np.any(queries.length * rows[middle] + _slack(queries.length, rows[middle]) >= threshold):
+                least = middle + 1
+            else:
+                most = middle
+        return behind + least
+
+
+_ASKED = "raw long, dim int, n int, from_c int, to_c int, ids binary, data binary, kth binary, kth_id binary, row binary, found binary, score binary"
+_FOUND = "query_id long, vec_id long, score long"
+
+
+def _headed(blocks: DataFrame, order: _Order, turns: dict[int, np.ndarray], k: int) -> DataFrame:
+    """Each block of queries with what the broadcast vectors give, and the chunks that it needs besides."""
+    shared = blocks.sparkSession.sparkContext.broadcast((order, turns))
+    names = [x.split()[0] for x in _ASKED.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in _ASKED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, turns = shared.value
+        heads = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                d = r["dim"]
+                queries = _Chunk(*_unpacked(r), turns[d], ordered=False)
+                kth, kth_id = np.full(r["n"], _NONE), np.full(r["n"], np.iinfo(np.int64).max)
+                row, ids, score = (np.zeros(0, dtype=np.int64) for _ in range(3))
+                if d in order.heads:
+                    if d not in heads:
+                        heads[d] = _Chunk(*order.heads[d], turns[d])
+                    row, ids, score, kth, kth_id = search(queries, heads[d], kth, kth_id, k)
+                cols = [r["raw"], d, r["n"], order.span[d][1], order.needed(d, queries, kth), r["ids"], r["data"], *(x.astype("<i8").tobytes() for x in (kth, kth_id, row, ids, score))]
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    return over_batches(blocks, run, _ASKED)
 
 
-def _searched(blocks: DataFrame, turns: dict[int, np.ndarray], k: int) -> DataFrame:
-    """blocks: for each chunk c first its own row (kind 0), then the query blocks dealt to it (kind 1)."""
+def _told(asked: DataFrame) -> DataFrame:
+    """What the broadcast vectors gave, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, c = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                part = _Chunk(np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["data"], dtype="<i8").reshape(r["n"], -1), turns[r["dim"]])
+                ids, row, found, score = (np.frombuffer(r[c], dtype="<i8") for c in ("ids", "row", "found", "score"))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return over_batches(asked.select("ids", "row", "found", "score"), run, _FOUND)
+
+
+def _searched(rows: DataFrame, turns: dict[int, np.ndarray], k: int) -> DataFrame:
+    """rows: for each chunk and group first the chunk (kind 0), then the group's blocks of queries (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, c = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 if r["kind"] == 0:
-                    chunk, c = part, r["c"]
-                    continue
-                if c != r["c"] or chunk.whole.shape[1] != r["dim"]:
+                    chunk, c = _Chunk(*_unpacked(r), turns[r["dim"]]), r["c"]
                     continue
-                # the chunk sorts its rows by length; thresholds follow the ids
-                at = dict(zip(np.frombuffer(r["ids"], dtype="<i8").tolist(), r["thresholds"] or [float("-inf")] * r["n"], strict=True))
-                row, ids, s = search(part, chunk, np.array([at[x] for x in part.ids.tolist()]), k)
+                if c != r["c"]:
+                    raise ValueError("a block of queries without its chunk")
+                queries = _Chunk(*_unpacked(r), turns[r["dim"]], ordered=False)
+                kth, kth_id = (np.frombuffer(r[x], dtype="<i8") for x in ("kth", "kth_id"))
+                row, ids, score, _, _ = search(queries, chunk, kth, kth_id, k)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(part.ids[row]), pa.array(ids), pa.array(s), pa.array(np.full(len(row), r["raw"]))], names=["query_id", "vec_id", "score", "raw"])
-
-    return blocks.mapInArrow(run, "query_id long, vec_id long, score long, raw long")
+                    yield pa.RecordBatch.from_arrays([pa.array(queries.ids[row]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-
-def _dealt(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each chunk's row, then the query blocks dealt to it, together in one partition."""
-    cols = ["c", "kind", "raw", "dim", "n", "longest", "ids", "data", "thresholds"]
-    none = F.lit(None).cast("array<double>")
-    both = chunks.select(*[F.lit(0).alias(c) if c == "kind" else none.alias(c) if c == "thresholds" else c for c in cols]).unionByName(queries.withColumn("kind", F.lit(1)).select(*cols))
-    return both.repartition("c").sortWithinPartitions("c", "kind")
+    return over_batches(rows, run, _FOUND)
 
 
 def top_k(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", query_every: int = 20, k: int = 20) -> DataFrame:
@@ -174,43 +275,22 @@ def top_k(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", quer
     vectors = written(whole_vectors(df, vec_id, vector))
     turns = rotations(vectors)
     parts = max(1, -(-vectors.count() // CHUNK))
-    ordered = vectors.repartitionByRange(parts, F.col("dim"), F.col("length").desc()).sortWithinPartitions("dim", F.col("length").desc(), "id")
-    packed = written(_packed(ordered, CHUNK))
+    by_length = [F.col("dim"), F.col("length").desc(), F.col("id")]
+    packed = written(_packed(vectors.repartitionByRange(parts, *by_length).sortWithinPartitions(*by_length), CHUNK))
     asked = vectors.where(F.pmod("id", F.lit(query_every)) == 0)
-    blocks = written(_packed(asked.repartition(max(1, parts // query_every)).sortWithinPartitions("dim", F.col("length").desc(), "id"), QUERY_BLOCK))
-    stats = sorted(packed.select("raw", "dim", "longest").collect(), key=lambda r: (r["dim"], -r["longest"], r["raw"]))
-    first = {}
-    for i, r in enumerate(stats):
-        first.setdefault(r["dim"], i)
-    numbered = spark.createDataFrame([(r["raw"], r["dim"], r["longest"], i, first[r["dim"]] == i) for i, r in enumerate(stats)], "raw long, dim int, longest double, c int, head boolean")
-    chunks = packed.join(numbered.select("raw", "c", "head"), "raw")
-    heads = numbered.where("head").select("dim", "c")
-    none = F.lit(None).cast("array<double>")
-    found = written(_searched(_dealt(chunks.where("head").drop("head"), blocks.join(heads, "dim").withColumn("thresholds", none)), turns, k))
-    # the k-th score that the head chunk gives; none where it has fewer than k
-    kth = found.groupBy("query_id").agg(F.count("*").alias("m"), F.min("score").cast("double").alias("s"), F.first("raw").alias("raw")).where(F.col("m") >= k)
-    by_block = kth.groupBy("raw").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "s"))).alias("known"))
-    sizes = numbered.where("not head").select(F.col("dim").alias("dim_"), "c", F.col("longest").alias("chunk_longest"))
-    rest = blocks.join(by_block, "raw", "left").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(len(stats) - 1, 0))))).join(sizes, "c").where("dim = dim_")
-    rest = _with_thresholds(rest).where((F.col("lowest") == float("-inf")) | (F.col("longest") * F.col("chunk_longest") * (1 + 1e-9) + 1e-6 >= F.col("lowest")))
-    more = _searched(_dealt(chunks.where("not head").drop("head"), rest), turns, k)
-    every = found.unionByName(more)
+    order = _Order(packed)
+    queries = _packed(asked.repartition(max(1, parts // query_every)).sortWithinPartitions(*by_length), QUERY_BLOCK)
+    blocks = written(_headed(queries, order, turns, k))
+    discard(vectors)
+    # pairs are numbers only; the vectors follow to those that are left
+    groups = -(-blocks.count() // GROUP)
+    pairs = blocks.where("to_c > from_c").select("raw", F.explode(F.sequence("from_c", F.col("to_c") - 1)).alias("c")).withColumn("g", F.pmod(F.xxhash64("raw"), F.lit(max(groups, 1))).cast("int"))
+    pairs = written(pairs)
+    numbered = spark.createDataFrame([(raw, i) for i, raw in enumerate(order.raw.tolist())], "raw long, c int")
+    none = F.lit(None).cast("binary")
+    chunks = packed.join(numbered, "raw").join(pairs.select("c", "g").distinct(), "c").select("c", "g", F.lit(0).alias("kind"), "dim", "n", "ids", "data", none.alias("kth"), none.alias("kth_id"))
+    meets = blocks.join(pairs, "raw").select("c", "g", F.lit(1).alias("kind"), "dim", "n", "ids", "data", "kth", "kth_id")
+    dealt = chunks.unionByName(meets).repartition("c", "g").sortWithinPartitions("c", "g", "kind")
+    every = _told(blocks).unionByName(_searched(dealt, turns, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _with_thresholds(rows: DataFrame) -> DataFrame:
-    """rows with thresholds, one for each query of the block in its order, and the lowest of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = []
-            for ids, known in zip(batch.column("ids").to_pylist(), batch.column("known").to_pylist(), strict=True):
-                at = dict(known or ())
-                each.append([at.get(i, float("-inf")) for i in np.frombuffer(ids, dtype="<i8").tolist()])
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(each, pa.list_(pa.float64())), pa.array([min(x) for x in each], pa.float64())], names=[*names, "thresholds", "lowest"])
-
-    names = [c for c in rows.columns if c not in ("known", "dim_")]
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.drop("dim_").mapInArrow(run, f"{kinds}, thresholds array<double>, lowest double")

@@ -18,7 +18,8 @@ def brute(rows, k, every):
 def test_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(ts, "CHUNK", 16)
     monkeypatch.setattr(ts, "QUERY_BLOCK", 4)
-    monkeypatch.setattr(ts, "STEP", 8)
+    monkeypatch.setattr(ts, "HEAD", 16)
+    monkeypatch.setattr(ts, "GROUP", 2)
     rng = np.random.default_rng(10)
     rows = [(i, (rng.normal(size=12) * rng.choice([0.1, 1, 3])).tolist()) for i in range(150)]
     rows += [(200 + i, rows[40][1]) for i in range(30)]  # many ties
@@ -32,3 +33,37 @@ def test_fewer_vectors_than_k_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.5]), (1, [-1.0, 2.0])], "vec_id long, embedding array<float>")
     assert list(map(tuple, ts.top_k(df).collect())) == [(0, 1, 1, -64 * 64 + 32 * 128)]
     assert ts.top_k(df.limit(0)).count() == 0
+
+
+def test_one_vector_in_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(ts, "CHUNK", 32)
+    monkeypatch.setattr(ts, "HEAD", 64)
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    rows += [(1000 + i, rows[7][1]) for i in range(200)] + [(1001 + i, rows[7][1]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert sorted(map(tuple, ts.top_k(df).collect())) == brute(rows, 20, 20)
+
+
+def test_what_a_chunk_tells_doesnt_grow_with_copies():
+    rng = np.random.default_rng(12)
+    one = rng.integers(-50, 50, 8)
+    chunk = ts._Chunk(np.arange(100, 600), np.tile(one, (500, 1)), np.eye(8))
+    asked = ts._Chunk(np.array([5]), one[None, :], np.eye(8), ordered=False)
+    score = int(one @ one)
+    got = ts.search(asked, chunk, np.array([score]), np.array([99]), 20)
+    assert len(got[0]) == 0
+    got = ts.search(asked, chunk, np.array([score]), np.array([104]), 20)
+    assert got[1].tolist() == [100, 101, 102, 103, 104]
+
+
+def test_wide_numbers(spark):
+    held = lambda x: max(min(int(np.floor(64 * x)) if abs(x) < 1e300 else int(np.sign(x)) << 62, 1 << 62), -(1 << 62))
+    rows = [(i, [float(10.0 ** (i % 25)), float(-(3.0 ** (i % 41))), 1e308 if i == 33 else 1.5]) for i in range(60)]
+    whole = {i: [held(x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20, 40):
+        scores = sorted((-max(min(sum(a * b for a, b in zip(whole[q], w, strict=True)), 2**63 - 1), -(2**63)), i) for i, w in whole.items() if i != q)[:20]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ts.top_k(df).collect())) == sorted(want)
