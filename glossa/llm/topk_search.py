@@ -142,10 +142,13 @@ def search(queries: _Chunk, chunk: _Chunk, kth: np.ndarray, kth_id: np.ndarray,
             break
         bound = queries.head[live] @ chunk.head[part].T + np.outer(queries.rest[live], chunk.rest[part]) + slack[live, None]
         q, c = np.nonzero((bound >= threshold[live, None]) & (queries.ids[live, None] != chunk.ids[None, part]))
-        q, c = live[q], a + c
         if not len(q):
             continue
-        s, ids = _exact(queries, chunk, q, c), chunk.ids[c]
+        if queries.small and chunk.small and 4 * len(q) > bound.size:  # the bound leaves much: all at once is faster
+            s = (queries.exact[live] @ chunk.exact[part].T)[q, c].astype(np.int64)
+        else:
+            s = _exact(queries, chunk, live[q], a + c)
+        q, ids = live[q], chunk.ids[a + c]
         keep = (s > kth[q]) | ((s == kth[q]) & (ids <= kth_id[q]))
         row, ids, s = (np.concatenate(x) for x in ((got_row, q[keep]), (got_id, ids[keep]), (got_score, s[keep])))
         order = np.lexsort((ids, ~s, row))  # ~s falls as s rises, over the whole range of long
@@ -279,7 +282,8 @@ def top_k(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", quer
     packed = written(_packed(vectors.repartitionByRange(parts, *by_length).sortWithinPartitions(*by_length), CHUNK))
     asked = vectors.where(F.pmod("id", F.lit(query_every)) == 0)
     order = _Order(packed)
-    queries = _packed(asked.repartition(max(1, parts // query_every)).sortWithinPartitions(*by_length), QUERY_BLOCK)
+    dealt = max(1, parts * CHUNK // (query_every * QUERY_BLOCK))
+    queries = _packed(asked.repartition(dealt).sortWithinPartitions(*by_length), QUERY_BLOCK)
     blocks = written(_headed(queries, order, turns, k))
     discard(vectors)
     # pairs are numbers only; the vectors follow to those that are left
@@ -290,7 +294,7 @@ def top_k(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", quer
     none = F.lit(None).cast("binary")
     chunks = packed.join(numbered, "raw").join(pairs.select("c", "g").distinct(), "c").select("c", "g", F.lit(0).alias("kind"), "dim", "n", "ids", "data", none.alias("kth"), none.alias("kth_id"))
     meets = blocks.join(pairs, "raw").select("c", "g", F.lit(1).alias("kind"), "dim", "n", "ids", "data", "kth", "kth_id")
-    dealt = chunks.unionByName(meets).repartition("c", "g").sortWithinPartitions("c", "g", "kind")
-    every = _told(blocks).unionByName(_searched(dealt, turns, k))
+    together = chunks.unionByName(meets).repartition("c", "g").sortWithinPartitions("c", "g", "kind")
+    every = _told(blocks).unionByName(_searched(together, turns, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
