@@ -47,6 +47,15 @@ def test_both_ways_of_matching_agree(spark):
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
 
 
+def test_common_grams_are_split(spark, monkeypatch):
+    monkeypatch.setattr(headwords, "GRAM_ROWS", 3)
+    h, _, _ = heads(spark, [f"abab{i}cd" for i in range(40)] + ["ab", "xy", "ba ab", "a b"])
+    q = spark.createDataFrame(list(enumerate(["ab", "bab", "b1", "zz", "abz", "ab ab", "5cd"])), "query_id long, q string")
+    near, far = headwords.matches(h, q, broadcast_limit=100), headwords.matches(h, q, broadcast_limit=0)
+    rows = sorted(map(tuple, far.collect()))
+    assert sorted(map(tuple, near.collect())) == rows and len({r[0] for r in rows}) == 5
+
+
 def build(spark, bodies, share=0.06):
     e = spark.createDataFrame([(i, f"w{i}", "", b) for i, b in enumerate(bodies)], "id long, word string, pron string, body string")
     s = index.segments(e)
@@ -121,3 +130,11 @@ def test_links(spark):
     hits = spark.createDataFrame([(0, 1, 5, 0, True), (0, 2, 6, 0, False), (0, 3, 7, 1, False)], "query_id long, rank long, id long, tier int, is_phrase boolean")
     links = spark.createDataFrame([(0, True)], "query_id long, go boolean")
     assert [r["id"] for r in chosen(hits, links).collect()] == [6]
+
+
+def test_summary_tells_nothing_found_from_nothing_asked(spark):
+    words, stats, stop, post, voc = build(spark, ["alpha beta", "alpha gamma", "delta"], share=0.5)
+    q = spark.createDataFrame(list(enumerate(["beta gamma", "nothing here", "a", "", "alpha"])), "query_id long, q string")
+    found = meanings.search_meanings(voc, post, stop, stats, words, q)
+    got = {r["query_id"]: (r["terms"], r["total"]) for r in meanings.query_summary(q, stop, found).collect()}
+    assert got == {0: (["beta", "gamma"], 2), 1: (["nothing", "here"], 0), 2: ([], None), 3: ([], None), 4: ([], None)}
