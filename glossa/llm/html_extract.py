@@ -63,10 +63,10 @@ _DROPPED = frozenset("nav footer aside form script style noscript template ifram
 _MAIN = frozenset(("article", "main"))
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 _NAMES = frozenset(
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar toolbar footer sidebar ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter subscribe login signup share sharing comment comments commentlist disqus copyright pagination pager skip".split()
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar toolbar footer sidebar ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter subscribe login signup share sharing comment comments commentlist disqus copyright pagination pager reply replies respond responses skip".split()
 )
 #: Names that parts of an article have too.
-_WEAK_NAMES = frozenset("aside notice notices alert overlay promotion subscription social related recommended recommendations discussion reply replies respond widget".split())
+_WEAK_NAMES = frozenset("aside notice notices alert overlay promotion subscription social related recommended recommendations discussion widget".split())
 
 
 class Block(NamedTuple):
