@@ -151,6 +151,24 @@ def convert_markup(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "c.pron", "c.body", F.array_join("c.phrases", "|").alias("phrases"))
 
 
+_LONG_PHRASE = ("long " * 20).strip()
+_BRANCH_BODY = S.tidy(
+    f"' some body ' || chr(14) || 'in ' || lang || chr(15) || ' mid  --  x ' || chr(5) || '{_LONG_PHRASE}' || chr(6) || '؛ y ' || chr(5) || 'Dup ' || lang || chr(6) || '؛ ' || chr(5) || 'dup ' || upper(lang) || chr(6) || ' ؛ no ' || chr(5) || 'unlisted' || chr(6) || ', AB۰' || chr(8204) || '&bogus; &lt; ' || text"
+)
+
+
+@registered(f"SELECT doc_id, '' AS pron, {_BRANCH_BODY} AS body, 'Dup ' || lang || '|dup ' || upper(lang) AS phrases, 'Dup ' || lang AS kept FROM documents")
+def convert_branches(spark: SparkSession, d: str) -> DataFrame:
+    """Inline pronunciations, spans without letters, long, repeated and unlisted phrases, numeric and unknown entities."""
+    lang = F.col("lang")
+    html = F.concat(
+        F.lit('<span class="hlight">h</span> some body <font color="DarkGreen"><b>[ in '), lang, F.lit(f' ]</font></b> mid <span class="hlight">--</span> x <span class="hlight">{_LONG_PHRASE}</span>؛ y <span class="hlight">Dup '),
+        lang, F.lit('</span>؛ <span class="hlight"> dup  '), F.upper(lang), F.lit('</span> ؛ no <span class="hlight">unlisted</span>, &#65;&#x42;&#1632;&ZWNJ;&bogus; &amp;lt; '), F.replace("text", F.lit("\n"), F.lit("<br>")),
+    )
+    c = _table(spark, d, "documents").withColumn("c", M.convert(html))
+    return c.select("doc_id", "c.pron", "c.body", F.array_join("c.phrases", "|").alias("phrases"), F.array_join(corpus.kept_phrases(F.col("c.phrases"), F.lit("h")), "|").alias("kept"))
+
+
 @registered(f"SELECT doc_id, {S.plain_for_index(_BODY)} AS plain FROM documents")
 def plain_for_index(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).select("doc_id", M.plain_for_index(M.convert("html")["body"]).alias("plain"))
