@@ -4,13 +4,16 @@ Template: each turn is `### role: text </turn>` and a newline. Control strings (
 escaped: n backslashes before one become 2n+1, so every control string of a text has an odd number before it and the
 template's own have none.
 
-Method: grammar round trip. The rendered text of each conversation is parsed again by a deterministic parser; the
-turns it finds are compared with the source, and content that conflicts is escaped until they are identical. The
-parser refuses a text with an unescaped control string.
+Method: grammar round trip. Each conversation is written as one text, turn behind turn, and that text goes through a
+deterministic parser (`Parser`), which is fed as the text grows and refuses one with an unescaped control string. The
+turns that it recovers are compared with the source; where they differ, the parser goes back to where the turn began
+and is fed the turn with its conflicting content escaped. At the end nothing may be left unread. What is returned is
+read back from the parser alone.
 
 Defined results: a null text is empty; a null role is written `?`; rows come in the order of turn
 (null first), then role, then text, repeated rows included; a conversation of any length is streamed turn by turn, so
-memory holds one turn; an empty table gives an empty result; other columns are not read.
+memory holds one turn, however long; rows without an id are conversations of their own, one each; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.common import over_batches
+
 OPEN, CLOSE = "### ", " </turn>\n"
 _CONTROL = re.compile(r"(\\*)(###|</turn>)")
 _ROLE_OUT = {"\\": "\\\\", "\n": "\\n", ":": "\\c", "#": "\\h", "<": "\\l", "?": "\\q"}
@@ -50,43 +55,74 @@ def _role_in(mark: str) -> str | None:
     return None if mark == "?" else re.sub(r"\\.", lambda m: _ROLE_IN[m[0]], mark)
 
 
-def render_turn(role: str | None, text: str) -> tuple[str, int]:
-    """A turn's rendered form and where its text begins in it. Escaped only where the parser would else not read the source."""
-    head = f"{OPEN}{_role_out(role)}: "
-    for body in (text, escape(text)):
-        out = f"{head}{body}{CLOSE}"
-        if parse(out) == [(role, text)]:
-            return out, len(head)
-    raise ValueError("a turn can't be written so that it is read back")
+class Parser:
+    """Reads the turns of a conversation's text as it is fed."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, text: str) -> list[tuple[str | None, str]] | None:
+        """The turns that end in text, or None where it can't belong to a conversation."""
+        text, at, out = self.rest + text if self.rest else text, 0, []
+        while at < len(text):
+            colon = text.find(": ", at)
+            end = text.find(CLOSE, colon + 2) if colon >= 0 else -1
+            if not text.startswith(OPEN, at):
+                if len(text) - at >= len(OPEN) or not OPEN.startswith(text[at:]):
+                    return None
+                break
+            if end < 0:
+                break
+            role, turn = text[at + len(OPEN) : colon], unescape(text[colon + 2 : end])
+            if turn is None or not _ROLE.fullmatch(role):
+                return None
+            out.append((_role_in(role), turn))
+            at = end + len(CLOSE)
+        self.rest = text[at:]
+        return out
 
 
 def parse(rendered: str) -> list[tuple[str | None, str]] | None:
     """The turns of a rendered conversation, or None where it isn't one."""
-    at, out = 0, []
-    while at < len(rendered):
-        colon = rendered.find(": ", at)
-        end = rendered.find(CLOSE, colon + 2)
-        if not rendered.startswith(OPEN, at) or colon < 0 or end < 0:
-            return None
-        role, text = rendered[at + len(OPEN) : colon], unescape(rendered[colon + 2 : end])
-        if text is None or not _ROLE.fullmatch(role):
-            return None
-        out.append((_role_in(role), text))
-        at = end + len(CLOSE)
-    return out
+    parser = Parser()
+    turns = parser.feed(rendered)
+    return None if parser.rest else turns
+
+
+class Writer:
+    """Writes a conversation turn by turn, each as the parser of the whole text reads it back."""
+
+    def __init__(self):
+        self.parser = Parser()
+
+    def add(self, role: str | None, text: str) -> tuple[str, int, list[tuple[str | None, str]]]:
+        """The turn's part of the text, where the turn's own text begins in it, and what the parser has read. Escaped only where it would else read something else."""
+        head, before = f"{OPEN}{_role_out(role)}: ", self.parser.rest
+        for body in (text, escape(text)):
+            out = f"{head}{body}{CLOSE}"
+            read = self.parser.feed(out)
+            if read == [(role, text)] and not self.parser.rest:
+                return out, len(head), read
+            self.parser.rest = before
+        raise ValueError("a turn can't be written so that it is read back")
+
+
+def render_turn(role: str | None, text: str) -> tuple[str, int]:
+    """A turn's rendered form and where its text begins in it."""
+    return Writer().add(role, text)[:2]
 
 
 class _Reading:
-    """What is read back from the rendered turns of one conversation."""
+    """What is read back from the text of one conversation."""
 
     def __init__(self, conv_id: int | None):
         self.conv_id, self.n_turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.writer = Writer()
 
     def add(self, role: str | None, text: str | None) -> str:
-        source = text or ""
-        rendered, _ = render_turn(role, source)
-        for r, t in parse(rendered):
+        rendered, _, read = self.writer.add(role, text or "")
+        for r, t in read:
             self.n_turns += 1
             self.turns.update(f"{'' if r is None else r}\n{t}\n".encode())
             if r == LOSS_ROLE:
@@ -105,7 +141,8 @@ _TEXTS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("rendered",
 
 def _ordered(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # rows without an id don't meet in one place
+    return rows.repartition(F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def format_digests(conversations: DataFrame) -> DataFrame:
@@ -115,7 +152,7 @@ def format_digests(conversations: DataFrame) -> DataFrame:
         now, rows = None, []
         for batch in batches:
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if now is None or now.conv_id != conv:
+                if now is None or conv is None or now.conv_id != conv:
                     if now is not None:
                         rows.append(now.row())
                     now = _Reading(conv)
@@ -127,7 +164,7 @@ def format_digests(conversations: DataFrame) -> DataFrame:
             rows.append(now.row())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DIGEST.types, strict=True)], schema=_DIGEST)
 
-    return _ordered(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return over_batches(_ordered(conversations), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
@@ -143,4 +180,4 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                     c.append(x)
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), *(pa.array(c, t) for c, t in zip(cols, _TEXTS.types[2:], strict=True))], schema=_TEXTS)
 
-    return _ordered(conversations).mapInArrow(run, "conv_id long, turn long, rendered string, loss_from long, loss_to long")
+    return over_batches(_ordered(conversations), run, "conv_id long, turn long, rendered string, loss_from long, loss_to long")

@@ -119,8 +119,8 @@ FROM b LEFT JOIN v USING (source)
 #: What the formatted text must read back as; a control string and the backslashes before it are written 2n + 1 times escaped.
 OP7_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(k)
+  SELECT CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT NULL, -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(k)
 ),
 w AS (
   SELECT *, length('### ') + coalesce(length(regexp_replace(role, '([\\\n:#<?])', '\\\1', 'g')), 1) + length(': ')
@@ -132,7 +132,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(written) AS BIGINT) AS formatted_chars
-FROM w GROUP BY conv_id
+FROM w GROUP BY conv_id, own
 """
 
 #: Rows are documents of their own. All that share a shingle are compared; components by reachability.

@@ -35,3 +35,23 @@ def test_digests(spark):
     assert sum(len(r["rendered"]) for r in turns if r["conv_id"] == 1) == got[1]["formatted_chars"]
     assert [r["rendered"][r["loss_from"] : r["loss_to"]] for r in turns if r["conv_id"] == 2] == ["x", "x"]
     assert cf.format_digests(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_are_conversations_of_their_own(spark):
+    df = spark.createDataFrame([(None, 0, "user", f"t{i}") for i in range(30)] + [(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string").repartition(3)
+    rows = cf.format_digests(df).collect()
+    assert sorted((r["conv_id"] or 0, r["n_turns"]) for r in rows) == [(0, 1)] * 30 + [(1, 2)]
+
+
+def test_the_parser_reads_a_text_in_any_pieces():
+    rng = random.Random(8)
+    for _ in range(500):
+        turns = [(rng.choice(["user", "assistant", None, "a:b"]), "".join(rng.choice(PARTS) for _ in range(rng.randrange(8)))) for _ in range(rng.randrange(1, 5))]
+        writer = cf.Writer()
+        text = "".join(writer.add(r, t)[0] for r, t in turns)
+        parser, read, at = cf.Parser(), [], 0
+        while at < len(text):
+            step = rng.randrange(1, 12)
+            read += parser.feed(text[at : at + step])
+            at += step
+        assert read == turns and not parser.rest
