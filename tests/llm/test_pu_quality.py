@@ -34,3 +34,47 @@ def test_without_labels(spark):
     model, prior = pu.train(d, labels.limit(0))
     assert prior == 0.5 and {r["score"] for r in pu.score(d, model, ["doc_id"]).collect()} == {0.5}
     assert pu.score(d.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_risk_and_gradient_by_hand():
+    rng = np.random.default_rng(13)
+    xp, xu, w, prior = rng.normal(size=(7, 4)), rng.normal(size=(11, 4)), rng.normal(size=4), 0.3
+    loss = lambda margin: np.log(1 + np.exp(-margin))
+    first = lambda w: prior * np.mean([loss(x @ w) for x in xp])
+    second = lambda w: np.mean([loss(-(x @ w)) for x in xu]) - prior * np.mean([loss(-(x @ w)) for x in xp])
+    got = pu.risk(w, xp, xu, prior)
+    assert np.allclose(got[:2], (first(w), second(w)))
+    for f, g in ((first, got[2]), (second, got[3])):
+        slope = [(f(w + h) - f(w - h)) / 2e-6 for h in np.eye(4) * 1e-6]
+        assert np.allclose(slope, g, atol=1e-6)
+
+
+def test_the_fit_lowers_the_risk_and_stays_above_zero():
+    rng = np.random.default_rng(14)
+    positives = rng.normal(size=(200, pu.WIDTH)).astype(np.float32) + 1
+    negatives = rng.normal(size=(200, pu.WIDTH)).astype(np.float32) - 1
+    unlabelled = np.vstack([positives[:100], negatives[:100]])
+    model = pu.fit(positives, unlabelled, 0.5)
+    xp, xu = model.design(positives), model.design(unlabelled)
+    total = lambda w: (lambda a, b: a + max(b, 0))(*pu.risk(w, xp, xu, 0.5)[:2])
+    assert total(model.weights) < 0.5 * total(np.zeros_like(model.weights))
+    assert model.score(positives[100:]).mean() > 0.9 and model.score(negatives[100:]).mean() < 0.1
+
+
+def test_words_alone_tell(spark):
+    """The same letters, marks and lengths; only the words differ."""
+    rng = random.Random(15)
+    make = lambda kind: " ".join("".join(rng.sample(w, 3)) if kind else w for w in [rng.choice(["abc", "bcd", "cde", "dea"]) for _ in range(60)])
+    rows = [(i, make(i % 2), i % 2) for i in range(800)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 4 < 2 and i < 600], "doc_id long, quality int")
+    model, _ = pu.train(d.where("doc_id < 600"), labels)
+    got = {r["doc_id"]: r["predicted"] for r in pu.score(d, model, ["doc_id"]).collect()}
+    assert np.mean([got[i] == y for i, _, y in rows if i >= 600]) > 0.95
+
+
+def test_repeated_rows(spark):
+    d, labels, _ = docs(spark, 100)
+    model, _ = pu.train(d.unionByName(d), labels.unionByName(labels))
+    rows = pu.score(d.unionByName(d), model, ["doc_id"]).collect()
+    assert len(rows) == 2 * d.count() and len({(r["doc_id"], r["score"]) for r in rows}) == d.count()
