@@ -43,8 +43,22 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+#: A table of texts in fewer files than there are cores is dealt out to all of them if it is no larger than this.
+SPREAD_BYTES = 1 << 30
+_TEXTS = ("documents", "pages")
+
+
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return _spread(df) if name in _TEXTS else df
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A small table of one or a few files, which one or a few tasks would read and work on, in as many parts as there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
