@@ -37,7 +37,7 @@ from glossa.llm.common import discard, over_batches, slices, written
 from glossa.llm.components import attached, components
 
 #: Sets in a verifying block, and tokens.
-BLOCK_SETS, BLOCK_TOKENS = 256, 400_000
+BLOCK_SETS, BLOCK_TOKENS = 512, 400_000
 #: Frequent tokens that are sent to every task, at most, and how often each occurs at least.
 COMMON, MIN_COMMON = 1 << 15, 20
 #: The cost of a false candidate's token, in entries (moving it, times the share of sets that have a common passage), and
