@@ -4,7 +4,8 @@ DataFrame and SQL functions only. Base features are computed in one pass without
 shared folder; hosts come from a partial aggregation, so a host with a third of all rows is a sum like any other.
 
 Defined results: a null text has no words and fails; a null host gets no verdict of its own (its documents keep
-what the base rules say); repeated rows each count; an empty table gives an empty result; other columns don't matter.
+what the base rules say); a text of any length is ruled whole, within its row; a host whose shrunk rate is exactly the
+limit stays; repeated rows each count; an empty table gives an empty result; other columns don't matter.
 8-word windows of a document are compared by their 64-bit hashes.
 """
 
