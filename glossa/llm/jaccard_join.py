@@ -12,8 +12,13 @@ which counts for two. A cost model chooses for each group how many segments of e
 Equal entries join sets into candidate clusters. Entries are combined in each task before the shuffle (it sends each
 entry once, and links to its set), so a group of copies of any size is a few rows. They are sent in blocks, sorted and
 as differences, with as many bits as keep chance meetings rare at the table's size (`widths`); what meets by chance is
-only verified in vain. Clusters are verified exactly, in blocks of bounded size and of like set sizes; a block pair is
-one task's work, pairs are never rows. Sets that are equal are one set throughout, known by the hash of its tokens.
+only verified in vain. Clusters larger than a block are divided by their sets' prefixes: in any order of the tokens,
+linked sets share one of the first size - needed + 1 of each (`prefix`); with the frequent tokens last, sets that have
+no more than a common passage share none, so these clusters don't grow with the table. Clusters are verified exactly,
+in blocks of bounded size and of like set sizes; a block pair is one task's work, pairs are never rows. Only texts of
+clusters are kept for it, and the block pairs are dealt to rounds, so that what a round moves follows the table even
+where a cluster's block pairs grow with its square. Sets that are equal are one set throughout, known by the hash of
+its tokens.
 
 Defined results: a text without words has an empty set and no links; with fewer words than n the whole sequence is
 its only token; A-Z are lower-cased and nothing else; null text counts as without words; a null id has no component
@@ -25,8 +30,8 @@ table gives an empty result; other columns are not read. Tokens and sets are com
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,8 @@ from glossa.llm.components import attached, components
 
 #: Sets in a verifying block, and tokens.
 BLOCK_SETS, BLOCK_TOKENS = 512, 400_000
+#: Tokens that a round of verification moves, about, where the table doesn't have more.
+ROUND_TOKENS = 1 << 24
 #: Frequent tokens that are sent to every task, at most, and how often each occurs at least.
 COMMON, MIN_COMMON = 1 << 15, 20
 #: The cost of a false candidate's token, in entries (moving it, times the share of sets that have a common passage), and
@@ -238,6 +245,14 @@ def entries(tokens: np.ndarray, group: int, percent: int, common: np.ndarray) ->
     return mixed(total * _ODD[0] + where * _ODD[1] + np.uint64(group * int(_ODD[7]) & (1 << 64) - 1)).astype(np.int64)
 
 
+def prefix(tokens: np.ndarray, percent: int, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first tokens of a set, of which it shares one with every set linked to it: the frequent ones come last, by place, others by hash."""
+    first = len(tokens) + percent * len(tokens) // -100 + 1  # linked sets share percent of the larger one's tokens at least
+    at = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
+    last = np.where(common[at] == tokens, place[at], 0) if len(common) else np.zeros(len(tokens), dtype=np.int64)
+    return tokens[np.lexsort((tokens, last))[:first]]
+
+
 def set_keys(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """doc_id, h (the text's hash), n_shingles and k (the set's key) of each row."""
 
@@ -249,10 +264,11 @@ def set_keys(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     return over_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("x")), run, "doc_id long, h long, n_shingles long, k long")
 
 
-def common_tokens(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """The COMMON most frequent tokens, of those found at least three times in some batch and MIN_COMMON times in all.
+def common_tokens(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The COMMON most frequent tokens, of those found at least three times in some batch and MIN_COMMON times in all, sorted;
+    and the place of each, from 1, the most frequent last.
 
-    Any choice gives the same links: it only says which segments are worth an entry.
+    Any choice gives the same links: it only says which segments are worth an entry, and in which order prefixes are taken.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +282,9 @@ def common_tokens(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
     counted = over_batches(docs.select(F.col(text).alias("x")).where(F.col("x").isNotNull()), run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     top = counted.where(F.col("times") >= MIN_COMMON).orderBy(F.col("times").desc(), "token").limit(COMMON)
-    return np.sort(np.array(top.toArrow().column("token").to_pylist(), dtype=np.int64).astype(np.uint64))
+    tokens = np.array(top.toArrow().sort_by([("times", "descending"), ("token", "ascending")]).column("token").to_pylist(), dtype=np.int64).astype(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], len(tokens) - order
 
 
 def widths(sets: int, tokens: int) -> tuple[int, int]:
@@ -320,16 +338,17 @@ def _led(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig[head], node[head], links
 
 
-def candidate_links(docs: DataFrame, text: str, n: int, percent: int, sets: int, tokens: int) -> DataFrame:
-    """Links a, b between nodes (a set in a group, cut to the width of a node) whose entries meet: each to the first of its entry."""
-    common = common_tokens(docs, text, n)
-    bits, node_bytes = widths(sets, tokens)
-    dealt = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _met(rows: DataFrame, index: Callable, number: Callable, sets: int, tokens: int, bits: int, node_bytes: int) -> DataFrame:
+    """Links a, b between nodes whose entries meet: each to the first of its entry.
+
+    index: of batches of rows, the entries of each set and whose they are; number: the nodes of a list of the latter.
+    """
+    dealt = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(dealt, (tokens + 8 * sets) // MET_ENTRIES)
     cut = np.uint64(64 - bits), np.uint64(64 - 8 * node_bytes)
 
-    def sent(sigs: list[np.ndarray], nodes: list[tuple[int, int]], counts: list[int]) -> Iterator[pa.RecordBatch]:
-        node = np.repeat(node_of(*np.array(nodes, dtype=np.int64).T).view(np.uint64) >> cut[1], counts)
+    def sent(sigs: list[np.ndarray], nodes: list, counts: list[int]) -> Iterator[pa.RecordBatch]:
+        node = np.repeat(number(np.array(nodes, dtype=np.int64)).view(np.uint64) >> cut[1], counts)
         sig, node, links = _led(np.concatenate(sigs).view(np.uint64) >> cut[0], node)
         top = sig >> np.uint64(bits - 32)
         yield _blocks(sig, node, top * np.uint64(buckets) >> np.uint64(32), node_bytes)
@@ -339,26 +358,15 @@ def candidate_links(docs: DataFrame, text: str, n: int, percent: int, sets: int,
             yield pa.RecordBatch.from_arrays([pa.array(deal, pa.int64()), pa.array([None] * len(parts), pa.int64()), pa.array([None] * len(parts), pa.binary()), pa.array([x.astype("<u8").tobytes() for x in parts], pa.binary())], names=_BLOCK)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         sigs, nodes, counts, many = [], [], [], 0
-        for batch in batches:
-            for part in slices(batch, "x", SLICE):
-                for found in token_sets(part.column("x"), n):
-                    if not len(found) or (key := set_key(found)) in seen:
-                        continue
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(key)
-                    band = int(np.searchsorted(bands(percent), len(found)))
-                    for group in (band, band + 1):
-                        e = entries(found, group, percent, common)
-                        sigs.append(e)
-                        nodes.append((key, group))
-                        counts.append(len(e))
-                        many += len(e)
-                    if many >= SENT_ENTRIES:
-                        yield from sent(sigs, nodes, counts)
-                        sigs, nodes, counts, many = [], [], [], 0
+        for e, node in index(batches):
+            sigs.append(e)
+            nodes.append(node)
+            counts.append(len(e))
+            many += len(e)
+            if many >= SENT_ENTRIES:
+                yield from sent(sigs, nodes, counts)
+                sigs, nodes, counts, many = [], [], [], 0
         if many:
             yield from sent(sigs, nodes, counts)
 
@@ -384,10 +392,45 @@ def candidate_links(docs: DataFrame, text: str, n: int, percent: int, sets: int,
             if len(links):
                 yield told(links)
 
-    blocks = over_batches(docs.select(F.col(text).alias("x")).where(F.col("x").isNotNull()), emit, "bucket long, first long, steps binary, nodes binary")
+    blocks = over_batches(rows, emit, "bucket long, first long, steps binary, nodes binary")
     return over_batches(blocks.repartition("bucket").sortWithinPartitions("bucket"), meet, "a long, b long").distinct()
 
 
+def candidate_links(docs: DataFrame, text: str, n: int, percent: int, sets: int, tokens: int, common: np.ndarray) -> DataFrame:
+    """Links a, b between nodes (a set in a group, cut to the width of a node) whose entries meet: each to the first of its entry."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in slices(batch, "x", SLICE):
+                for found in token_sets(part.column("x"), n):
+                    if not len(found) or (key := set_key(found)) in seen:
+                        continue
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(key)
+                    band = int(np.searchsorted(bands(percent), len(found)))
+                    for group in (band, band + 1):
+                        yield entries(found, group, percent, common), (key, group)
+
+    rows = docs.select(F.col(text).alias("x")).where(F.col("x").isNotNull())
+    return _met(rows, index, lambda nodes: node_of(*nodes.T), sets, tokens, *widths(sets, tokens))
+
+
+def prefix_links(rows: DataFrame, n: int, percent: int, sets: int, tokens: int, common: np.ndarray, place: np.ndarray) -> DataFrame:
+    """rows: node, cluster, x (a text with the node's set). Links a, b between nodes of a cluster whose prefixes meet: each to the first of its token."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+        for batch in batches:
+            for part in slices(batch, "x", SLICE):
+                found = token_sets(part.column("x"), n)
+                for node, cluster, own in zip(part.column("node").to_pylist(), part.column("cluster").to_pylist(), found, strict=True):
+                    of_cluster = np.uint64(cluster & (1 << 64) - 1)
+                    yield mixed(prefix(own, percent, common, place) * _ODD[0] + of_cluster).astype(np.int64), node
+
+    return _met(rows, index, lambda nodes: nodes, sets, tokens, widths(sets, tokens)[0], 8)
+
+
 def _verified(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """rows: task, side, k, copies, band, group, x (a text with this set). Links that connect the sets of a task, and links counted per set.
 
@@ -465,6 +508,20 @@ def _verified(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return over_batches(rows.repartition("task").sortWithinPartitions("task", "k"), run, "a long, b long, links long")
 
 
+def _parted(placed: DataFrame, whole: DataFrame, chosen: DataFrame, n: int, percent: int, common: np.ndarray, place: np.ndarray) -> DataFrame:
+    """placed (with small, that of its cluster) with the sets of clusters larger than a block in clusters of their own by prefixes; those that meet no other go."""
+    sets, tokens = whole.where("NOT small").agg(F.sum("all_sets"), F.sum("all_tokens")).head()
+    plain = placed.where("small").drop("small")
+    if not sets:
+        return plain
+    large = placed.where("NOT small").drop("small").withColumn("node", F.xxhash64("k", "cluster"))
+    rows = chosen.join(large.select("rep", "h", "node", "cluster").hint("merge"), ["rep", "h"]).select("node", "cluster", "x")
+    parts = components(prefix_links(rows, n, percent, sets, tokens, common, place), "a", "b")
+    # nodes of different clusters may have one number
+    parted = large.join(parts, "node").withColumn("cluster", F.xxhash64("component", "cluster")).drop("node", "component")
+    return plain.unionByName(parted.select(*plain.columns))
+
+
 def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, h, n_shingles, k), and of each set k, n_shingles, its class (the smallest key of its sets), the class's least_id, and links."""
     keys = written(set_keys(docs, doc_id, text, n))
@@ -473,7 +530,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> t
     sets = keys.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("h", "doc_id").alias("h"), F.count("*").alias("copies"))
     sets = written(sets)
     many, tokens = sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).head()
-    candidates = written(candidate_links(sound, text, n, percent, many, tokens))
+    common, place = common_tokens(sound, text, n)
+    candidates = written(candidate_links(sound, text, n, percent, many, tokens, common))
     clusters = written(components(candidates, "a", "b"))
     cut = np.uint64(64 - 8 * widths(many, tokens)[1])
 
@@ -493,12 +551,18 @@ def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> t
     # blocks of like sizes; the step is a quarter of the linked sizes' ratio
     step = F.floor(F.log("size") * (4 / math.log(100 / percent))).cast("int")
     placed = written(placed.withColumn("step", step))
-    counted = placed.groupBy("cluster", "step").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens"), F.max((F.col("band") == F.col("group")).cast("int")).alias("upper"))
-    counted = written(counted.withColumn("salts", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int")))
-    whole = counted.groupBy("cluster").agg(F.sum("sets").alias("all_sets"), F.sum("tokens").alias("all_tokens"), F.max("upper").alias("any_upper")).where("any_upper = 1 AND all_sets > 1")
-    small = (F.col("all_sets") <= BLOCK_SETS) & (F.col("all_tokens") <= BLOCK_TOKENS)
     # pairs count in the group of the larger set's band: a cluster without such a set has none of its own
-    cells = written(counted.join(whole, "cluster").select("cluster", "step", "salts", small.alias("small")))
+    totals = [F.count("*").alias("all_sets"), F.sum("size").alias("all_tokens"), F.max((F.col("band") == F.col("group")).cast("int")).alias("any_upper")]
+    small = (F.col("all_sets") <= BLOCK_SETS) & (F.col("all_tokens") <= BLOCK_TOKENS)
+    whole = written(placed.groupBy("cluster").agg(*totals).where("any_upper = 1 AND all_sets > 1").withColumn("small", small))
+    # every text moves once, at any size: these sets grow with the table, so they aren't sent to all
+    texts = sound.select(F.col(doc_id).cast("long").alias("rep"), F.xxhash64(text).alias("h"), F.col(text).alias("x"))
+    chosen = written(texts.join(placed.join(whole, "cluster").select("rep", "h").hint("merge"), ["rep", "h"], "left_semi"))
+    parted = written(_parted(placed.join(whole.select("cluster", "small"), "cluster"), whole, chosen, n, percent, common, place))
+    counted = parted.groupBy("cluster", "step").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens"))
+    counted = written(counted.withColumn("salts", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int")))
+    worth = parted.groupBy("cluster").agg(*totals).where("any_upper = 1 AND all_sets > 1")
+    cells = written(counted.join(worth, "cluster").select("cluster", "step", "salts", small.alias("small")))
     blocks = cells.where(~F.col("small")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("cluster", "step", "salt")
     other = blocks.select("cluster", F.col("step").alias("step2"), F.col("salt").alias("salt2"))
     # a block meets itself and the later blocks that hold sizes near enough, of its own step and the next five
@@ -507,21 +571,25 @@ def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> t
     near = near.withColumn("task", F.xxhash64("cluster", "step", "salt", "step2", "salt2"))
     alone = F.col("step").eqNullSafe(F.col("step2")) & F.col("salt").eqNullSafe(F.col("salt2"))
     meets = written(near.select("cluster", "step", "salt", "task", F.lit(0).alias("side")).unionByName(near.where(~alone).select("cluster", F.col("step2").alias("step"), F.col("salt2").alias("salt"), "task", F.lit(1).alias("side"))))
-    dealt = placed.join(cells, ["cluster", "step"]).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
-    own = ["k", "rep", "h", "copies", "band", "group"]
+    dealt = parted.join(cells, ["cluster", "step"]).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
+    own = ["k", "rep", "h", "copies", "size", "band", "group"]
     tasks = dealt.where("small").select(*own, F.col("cluster").alias("task"), F.lit(0).alias("side"))
     tasks = written(tasks.unionByName(dealt.where("not small").join(meets, ["cluster", "step", "salt"]).select(*own, "task", "side")))
-    texts = sound.select(F.col(doc_id).cast("long").alias("rep"), F.xxhash64(text).alias("h"), F.col(text).alias("x"))
-    # every text moves once, at any size: tasks grow with the table, so they aren't sent to all
-    found = written(_verified(texts.join(tasks.hint("merge"), ["rep", "h"]).select("task", "side", "k", "copies", "band", "group", "x"), n, percent))
-    discard(candidates, clusters, placed, counted, cells, meets, tasks)
+    moved = tasks.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
+    rounds = max(1, math.ceil(moved / max(tokens, ROUND_TOKENS)))
+    found = []
+    for i in range(rounds):
+        now = tasks.where(F.pmod("task", F.lit(rounds)) == i).hint("merge")
+        found.append(written(_verified(chosen.join(now, ["rep", "h"]).select("task", "side", "k", "copies", "band", "group", "x"), n, percent)))
+    discard(candidates, clusters, placed, whole, chosen, parted, counted, cells, meets, tasks)
+    tables, found = found, reduce(DataFrame.unionByName, found)
     linked = components(found.where("links = 0"), "a", "b").select(F.col("node").alias("k"), "component")
     degrees = found.where("links > 0").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
     of_set = sets.join(linked, "k", "left").join(degrees, "k", "left").select("k", "n_shingles", "rep", F.coalesce("component", "k").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     of_set = written(of_set)
     least = written(of_set.groupBy("class").agg(F.min("rep").alias("least_id"), F.count("*").alias("n_")))
     classes = written(attached(of_set.drop("rep"), least, "class", many))
-    discard(found, sets, of_set, least)
+    discard(*tables, sets, of_set, least)
     return keys, classes
 
 

@@ -90,6 +90,24 @@ def test_large_group_and_a_hub(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in jj.first_of_each(df, n=4, percent=85).collect()) == [0, *range(300, 350)]
 
 
+def test_what_verification_moves_follows_the_table(spark, monkeypatch):
+    """Texts that have only a passage in common don't meet, and those of a large group meet in several rounds."""
+    monkeypatch.setattr(jj, "BLOCK_SETS", 8)
+    monkeypatch.setattr(jj, "MIN_COMMON", 3)
+    monkeypatch.setattr(jj, "ROUND_TOKENS", 100, raising=False)
+    moved, verified = [], jj._verified
+    monkeypatch.setattr(jj, "_verified", lambda rows, n, percent: moved.append(rows.count()) or verified(rows, n, percent))
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    passage, base = [word() for _ in range(60)], [word() for _ in range(60)]
+    apart = [(i, " ".join([*(word() for _ in range(25)), *passage])) for i in range(160)]
+    alike = [(1000 + i, " ".join([*base, f"own{i}"])) for i in range(80)]
+    rows = apart + alike
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jj.jaccard_join(df).collect())) == brute(rows, 4, 85)
+    assert max(moved) <= 2 * len(rows)
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(1)
     words = [f"w{rng.randrange(1000)}x{i % 997}" for i in range(200_000)]
