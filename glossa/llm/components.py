@@ -3,8 +3,8 @@
 Each step is an aggregation (the smallest neighbour of each node, partially aggregated before the shuffle) and a join
 that gives it to each of the node's links. The links of a hub, a node with a large share of all links, don't meet in
 one task: the few hubs (their number is bounded by the share) are broadcast, the other nodes are joined by shuffle.
-Each round is a table in the shared folder that replaces the one before. Nothing comes to the driver but the number
-of links and a checksum.
+Each round is a table in the shared folder that replaces the one before. A component that has become a star leaves, so
+a long chain costs rounds for its own links only. Nothing comes to the driver but the number of links.
 
 Defined results: links of a node with itself and repeated links add nothing; nodes without links have no row; null
 nodes have none; an empty table gives an empty result.
@@ -31,29 +31,28 @@ def attached(rows: DataFrame, each: DataFrame, key: str, total: int) -> DataFram
     return plain.select(*rows.columns, *others).unionByName(marked.where("hot_").select(*rows.columns, *others))
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-
-
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node and component (its smallest node) of every node that has a link to another."""
-    links = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v AND u IS NOT NULL AND v IS NOT NULL").distinct())
-    state = _state(links)
-    while state[0]:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # the smallest of each node's neighbourhood, and the node's greater neighbours
-        least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n_")))
+    links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v AND u IS NOT NULL AND v IS NOT NULL").distinct()
+    links = written(links.withColumn("open", F.lit(True)))
+    found = links.select("u", "v").limit(0)
+    while many := links.count():
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "open"))
+        # the smallest of each node's neighbourhood, the node's greater neighbours, and whether these are all and none is open: a star
+        star = F.min((F.col("v") > F.col("u")) & ~F.col("open")).alias("star")
+        least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n_"), star))
         # large star: greater neighbours move to the smallest of the neighbourhood
-        large = attached(links.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "u", state[0]).select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = attached(links.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "u", many).select(F.col("w").alias("u"), F.col("m").alias("v"), "star").where("u <> v")
         large = written(large.distinct())
-        # small star: a node and its smaller neighbours move to the smallest of them
-        down = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_")))
-        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = attached(large, down, "u", large.count()).select(F.explode(pairs).alias("x")).select("x.u", "x.v").where("u <> v")
-        before, links = links, written(small.distinct())
+        stars = written(large.where("star").select("u", "v"))
+        found = found.unionByName(stars)
+        rest = large.where("NOT star").select("u", "v")
+        # small star: a node and its smaller neighbours move to the smallest of them; a node with several of these, or with greater ones, is open
+        both = rest.withColumn("up", F.lit(0)).unionByName(rest.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v"), F.lit(1).alias("up")))
+        down = both.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("n_"), F.max("up").alias("up")).where("n_ > 0")
+        down = written(down.select("u", "m", "n_", ((F.col("n_") > 1) | (F.col("up") > 0)).alias("open")))
+        pairs = F.array(F.struct("u", F.col("m").alias("v"), "open"), F.struct(F.col("v").alias("u"), F.col("m").alias("v"), "open"))
+        small = attached(rest, down, "u", rest.count()).select(F.explode(pairs).alias("x")).select("x.u", "x.v", "x.open").where("u <> v")
+        before, links = links, written(small.groupBy("u", "v").agg(F.max("open").alias("open")))
         discard(before, least, large, down)
-        now = _state(links)
-        if now == state:
-            break
-        state = now
-    return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -10,7 +10,8 @@ which counts for two. A cost model chooses for each group how many segments of e
 (`allocate`).
 
 Equal entries join sets into candidate clusters. Entries are combined in each task before the shuffle (it sends each
-entry once, and links to its set), so a group of copies of any size is a few rows. They are sent in blocks, sorted and
+entry once, and links its sets), so a group of copies of any size is a few rows. What tasks tell are forests: links that
+connect nothing more are left out, so links follow the sets, not their equal entries. Entries are sent in blocks, sorted and
 as differences, with as many bits as keep chance meetings rare at the table's size (`widths`); what meets by chance is
 only verified in vain. Clusters larger than a block are divided by their sets' prefixes: in any order of the tokens,
 linked sets share one of the first size - needed + 1 of each (`prefix`); with the frequent tokens last, sets that have
@@ -53,6 +54,8 @@ FALSE_COST, PASSAGE = 0.15, 50
 
 #: Entries that a task combines and sends at once, and those that meet in one block, about.
 SENT_ENTRIES, MET_ENTRIES = 1 << 19, 1 << 21
+#: Links that a task holds before it drops those that connect nothing more.
+HELD_LINKS = 1 << 20
 _GAP = 0xFFFFFFFF
 #: Bytes of text whose words are hashed together, and whose sets are made together.
 PART, SLICE = 1 << 19, 2 << 20
@@ -327,19 +330,40 @@ def _read(first: int, steps: bytes, nodes: bytes, node_bytes: int) -> tuple[np.n
     return sig, wide.view("<u8")[:, 0]
 
 
+def _forest(links: np.ndarray) -> np.ndarray:
+    """Links that connect the same nodes: of each node to the smallest one that it is connected with, so fewer than nodes."""
+    nodes, at = np.unique(links, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while not np.array_equal(root, after := root[root]):
+            root = after
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    moved = root != np.arange(len(nodes))
+    return np.stack([nodes[moved], nodes[root[moved]]], axis=1)
+
+
 def _led(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each entry in order, the first node of each, and the links of its other nodes to that one."""
+    """Each entry in order, for each the smallest node that its nodes are connected with here, and links of the other nodes to those."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     head = np.concatenate([[True], sig[1:] != sig[:-1]])
-    leader = np.repeat(node[head], np.diff(np.append(np.flatnonzero(head), len(sig))))
-    apart = leader != node
-    links = np.unique(np.stack([node[apart], leader[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), dtype=np.uint64)
-    return sig[head], node[head], links
+    first = np.repeat(node[head], np.diff(np.append(np.flatnonzero(head), len(sig))))
+    apart = first != node
+    links, leader = _forest(np.stack([node[apart], first[apart]], axis=1)), node[head]
+    if not len(links):
+        return sig[head], leader, links
+    at = np.minimum(np.searchsorted(links[:, 0], leader), len(links) - 1)
+    return sig[head], np.where(links[at, 0] == leader, links[at, 1], leader), links
 
 
 def _met(rows: DataFrame, index: Callable, number: Callable, sets: int, tokens: int, bits: int, node_bytes: int) -> DataFrame:
-    """Links a, b between nodes whose entries meet: each to the first of its entry.
+    """Links a, b that connect the nodes whose entries meet: in each task every node to the smallest that it is connected with there.
+
+    So a group of like sets has a link or two for a set, not one for each of its entries' leaders.
 
     index: of batches of rows, the entries of each set and whose they are; number: the nodes of a list of the latter.
     """
@@ -374,30 +398,36 @@ def _met(rows: DataFrame, index: Callable, number: Callable, sets: int, tokens:
         def told(pairs: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype("<u8").view(np.int64)) for i in (0, 1)], names=["a", "b"])
 
-        now, held = None, []
+        now, held, links, many = None, [], [], 0
         for batch in batches:
             for bucket, first, steps, nodes in zip(*(batch.column(c).to_pylist() for c in _BLOCK), strict=True):
-                if steps is None:
-                    yield told(np.frombuffer(nodes, dtype="<u8").reshape(-1, 2))
-                    continue
                 if bucket != now and held:
-                    links = _led(*map(np.concatenate, zip(*held, strict=True)))[2]
-                    if len(links):
-                        yield told(links)
+                    links.append(_led(*map(np.concatenate, zip(*held, strict=True)))[2])
+                    many += len(links[-1])
                     held = []
                 now = bucket
-                held.append(_read(first, steps, nodes, node_bytes))
+                if steps is None:
+                    links.append(np.frombuffer(nodes, dtype="<u8").reshape(-1, 2))
+                    many += len(links[-1])
+                else:
+                    held.append(_read(first, steps, nodes, node_bytes))
+                if many >= HELD_LINKS:
+                    links = [_forest(np.concatenate(links))]
+                    many = len(links[0])
+                    if 2 * many >= HELD_LINKS:
+                        yield told(links[0])
+                        links, many = [], 0
         if held:
-            links = _led(*map(np.concatenate, zip(*held, strict=True)))[2]
-            if len(links):
-                yield told(links)
+            links.append(_led(*map(np.concatenate, zip(*held, strict=True)))[2])
+        if links:
+            yield told(_forest(np.concatenate(links)))
 
     blocks = over_batches(rows, emit, "bucket long, first long, steps binary, nodes binary")
     return over_batches(blocks.repartition("bucket").sortWithinPartitions("bucket"), meet, "a long, b long").distinct()
 
 
 def candidate_links(docs: DataFrame, text: str, n: int, percent: int, sets: int, tokens: int, common: np.ndarray) -> DataFrame:
-    """Links a, b between nodes (a set in a group, cut to the width of a node) whose entries meet: each to the first of its entry."""
+    """Links a, b between nodes (a set in a group, cut to the width of a node) whose entries meet, directly or by others."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
         seen: set[int] = set()
@@ -418,7 +448,7 @@ def candidate_links(docs: DataFrame, text: str, n: int, percent: int, sets: int,
 
 
 def prefix_links(rows: DataFrame, n: int, percent: int, sets: int, tokens: int, common: np.ndarray, place: np.ndarray) -> DataFrame:
-    """rows: node, cluster, x (a text with the node's set). Links a, b between nodes of a cluster whose prefixes meet: each to the first of its token."""
+    """rows: node, cluster, x (a text with the node's set). Links a, b between nodes of a cluster whose prefixes meet, directly or by others."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
         for batch in batches:

@@ -108,6 +108,23 @@ def test_what_verification_moves_follows_the_table(spark, monkeypatch):
     assert max(moved) <= 2 * len(rows)
 
 
+def test_links_of_a_large_group_follow_its_sets(spark, monkeypatch):
+    """Not its equal entries, each of which may have a leader of its own."""
+    links, all_of = [], jj.components
+    monkeypatch.setattr(jj, "components", lambda rows, a, b: links.append(rows.count()) or all_of(rows, a, b))
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for k in rng.sample(range(120), 3):
+            text[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    assert sorted(map(tuple, jj.jaccard_join(df).collect())) == brute(rows, 4, 85)
+    assert links[0] <= 3 * 2 * len(rows)  # a set is in two groups
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(1)
     words = [f"w{rng.randrange(1000)}x{i % 997}" for i in range(200_000)]
@@ -174,3 +191,13 @@ def test_components(spark):
     want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
     got = {r["node"]: r["component"] for r in cc.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == want
+
+
+def test_finished_components_leave(spark, monkeypatch):
+    """A long chain costs rounds for its own links, not for those of all the others."""
+    joined, attached = [], cc.attached
+    monkeypatch.setattr(cc, "attached", lambda rows, each, key, total: joined.append(rows.count()) or attached(rows, each, key, total))
+    edges = [(4 * i, 4 * i + k) for i in range(1000) for k in (1, 2, 3)] + [(10_000 + i, 10_001 + i) for i in range(200)]
+    got = {r["node"]: r["component"] for r in cc.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {n: 10_000 if n >= 10_000 else n // 4 * 4 for e in edges for n in e}
+    assert len(joined) > 8 and sum(joined) <= 4 * len(edges)
