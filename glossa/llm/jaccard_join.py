@@ -18,8 +18,10 @@ linked sets share one of the first size - needed + 1 of each (`prefix`); with th
 no more than a common passage share none, so these clusters don't grow with the table. Clusters are verified exactly,
 in blocks of bounded size and of like set sizes; a block pair is one task's work, pairs are never rows. Only texts of
 clusters are kept for it, and the block pairs are dealt to rounds, so that what a round moves follows the table even
-where a cluster's block pairs grow with its square. Sets that are equal are one set throughout, known by the hash of
-its tokens.
+where a cluster's block pairs grow with its square. Where only classes are asked for (`first_of_each`), the sets of a
+very large cluster are first verified in a few blocks each; most sets of a group of near copies are then known to be one
+class, and block pairs remain only for the others. Sets that are equal are one set throughout, known by the hash of its
+tokens.
 
 Defined results: a text without words has an empty set and no links; with fewer words than n the whole sequence is
 its only token; A-Z are lower-cased and nothing else; null text counts as without words; a null id has no component
@@ -44,6 +46,8 @@ from glossa.llm.components import attached, components
 
 #: Sets in a verifying block, and tokens.
 BLOCK_SETS, BLOCK_TOKENS = 512, 400_000
+#: A cluster of more blocks than this is looked at for one large class before its block pairs are dealt.
+MANY_BLOCKS = 16
 #: Tokens that a round of verification moves, about, where the table doesn't have more.
 ROUND_TOKENS = 1 << 24
 #: Frequent tokens that are sent to every task, at most, and how often each occurs at least.
@@ -52,8 +56,10 @@ COMMON, MIN_COMMON = 1 << 15, 20
 #: the tokens that such sets share.
 FALSE_COST, PASSAGE = 0.15, 50
 
-#: Entries that a task combines and sends at once, and those that meet in one block, about.
-SENT_ENTRIES, MET_ENTRIES = 1 << 19, 1 << 21
+#: Entries that a task combines and sends at once, and those that meet in one block, at least and at most, about.
+SENT_ENTRIES, FEW_ENTRIES, MET_ENTRIES = 1 << 19, 1 << 16, 1 << 21
+#: Tasks in which entries meet, whatever the table's size: each tells a forest over the sets, so links follow the sets.
+MEET_TASKS = 24
 #: Links that a task holds before it drops those that connect nothing more.
 HELD_LINKS = 1 << 20
 _GAP = 0xFFFFFFFF
@@ -360,15 +366,38 @@ def _led(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig[head], np.where(links[at, 0] == leader, links[at, 1], leader), links
 
 
+def _thinned(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Links that connect what all found links connect, as a, b; so many are held at most that memory is bounded."""
+
+    def told(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype("<u8").view(np.int64)) for i in (0, 1)], names=["a", "b"])
+
+    links, many = [], 0
+    for more in found:
+        links.append(more)
+        many += len(more)
+        if many >= HELD_LINKS:
+            links = [_forest(np.concatenate(links))]
+            many = len(links[0])
+            if 2 * many >= HELD_LINKS:
+                yield told(links[0])
+                links, many = [], 0
+    if many:
+        yield told(_forest(np.concatenate(links)))
+
+
 def _met(rows: DataFrame, index: Callable, number: Callable, sets: int, tokens: int, bits: int, node_bytes: int) -> DataFrame:
     """Links a, b that connect the nodes whose entries meet: in each task every node to the smallest that it is connected with there.
 
     So a group of like sets has a link or two for a set, not one for each of its entries' leaders.
 
+    The tasks' links are dealt by their greater node and thinned once more.
+
     index: of batches of rows, the entries of each set and whose they are; number: the nodes of a list of the latter.
     """
-    dealt = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(dealt, (tokens + 8 * sets) // MET_ENTRIES)
+    many = tokens + 8 * sets
+    # every task sends a row to each bucket: few entries are not dealt to many
+    buckets = max(min(16 * MEET_TASKS, many // FEW_ENTRIES), many // MET_ENTRIES, 1)
     cut = np.uint64(64 - bits), np.uint64(64 - 8 * node_bytes)
 
     def sent(sigs: list[np.ndarray], nodes: list, counts: list[int]) -> Iterator[pa.RecordBatch]:
@@ -395,35 +424,29 @@ def _met(rows: DataFrame, index: Callable, number: Callable, sets: int, tokens:
             yield from sent(sigs, nodes, counts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype("<u8").view(np.int64)) for i in (0, 1)], names=["a", "b"])
-
-        now, held, links, many = None, [], [], 0
-        for batch in batches:
-            for bucket, first, steps, nodes in zip(*(batch.column(c).to_pylist() for c in _BLOCK), strict=True):
-                if bucket != now and held:
-                    links.append(_led(*map(np.concatenate, zip(*held, strict=True)))[2])
-                    many += len(links[-1])
-                    held = []
-                now = bucket
-                if steps is None:
-                    links.append(np.frombuffer(nodes, dtype="<u8").reshape(-1, 2))
-                    many += len(links[-1])
-                else:
-                    held.append(_read(first, steps, nodes, node_bytes))
-                if many >= HELD_LINKS:
-                    links = [_forest(np.concatenate(links))]
-                    many = len(links[0])
-                    if 2 * many >= HELD_LINKS:
-                        yield told(links[0])
-                        links, many = [], 0
-        if held:
-            links.append(_led(*map(np.concatenate, zip(*held, strict=True)))[2])
-        if links:
-            yield told(_forest(np.concatenate(links)))
+        def found() -> Iterator[np.ndarray]:
+            now, held = None, []
+            for batch in batches:
+                for bucket, first, steps, nodes in zip(*(batch.column(c).to_pylist() for c in _BLOCK), strict=True):
+                    if bucket != now and held:
+                        yield _led(*map(np.concatenate, zip(*held, strict=True)))[2]
+                        held = []
+                    now = bucket
+                    if steps is None:
+                        yield np.frombuffer(nodes, dtype="<u8").reshape(-1, 2)
+                    else:
+                        held.append(_read(first, steps, nodes, node_bytes))
+            if held:
+                yield _led(*map(np.concatenate, zip(*held, strict=True)))[2]
+
+        return _thinned(found())
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _thinned(np.stack([np.asarray(batch.column(c)).view(np.uint64) for c in ("a", "b")], axis=1) for batch in batches)
 
     blocks = over_batches(rows, emit, "bucket long, first long, steps binary, nodes binary")
-    return over_batches(blocks.repartition("bucket").sortWithinPartitions("bucket"), meet, "a long, b long").distinct()
+    links = over_batches(blocks.repartition(MEET_TASKS, "bucket").sortWithinPartitions("bucket"), meet, "a long, b long")
+    return over_batches(links.repartition("a"), again, "a long, b long")
 
 
 def candidate_links(docs: DataFrame, text: str, n: int, percent: int, sets: int, tokens: int, common: np.ndarray) -> DataFrame:
@@ -552,8 +575,41 @@ def _parted(placed: DataFrame, whole: DataFrame, chosen: DataFrame, n: int, perc
     return plain.unionByName(parted.select(*plain.columns))
 
 
-def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, h, n_shingles, k), and of each set k, n_shingles, its class (the smallest key of its sets), the class's least_id, and links."""
+def _main_classes(parted: DataFrame, chosen: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """parted with main: whether a set of a cluster of many blocks is known to be in the cluster's largest class; and the links that say so.
+
+    The sets are dealt to blocks of like sizes three times, and each block is verified within itself, which costs so much
+    for a set whatever the cluster's size. Two sets of one class needn't meet, so block pairs remain for the others only.
+    """
+    blocks = F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_TOKENS)
+    large = written(parted.groupBy("cluster").agg(blocks.alias("blocks")).where(F.col("blocks") > MANY_BLOCKS).select("cluster"))
+    if large.isEmpty():
+        return parted.withColumn("main", F.lit(False)), None
+    within = written(parted.join(large, "cluster"))
+    tasks = None
+    for i, step in enumerate((F.col("step"), F.floor(F.col("step") / 2), F.floor((F.col("step") + 1) / 2))):
+        now = within.withColumn("like", step.cast("int"))
+        salts = now.groupBy("cluster", "like").agg(F.ceil(blocks).cast("int").alias("salts"))
+        now = now.join(salts, ["cluster", "like"])
+        task = F.xxhash64("cluster", F.lit(i), "like", F.pmod(F.xxhash64("k", F.lit(i)), "salts"))
+        now = now.select("k", "rep", "h", "copies", "band", "group", task.alias("task"), F.lit(0).alias("side"))
+        tasks = now if tasks is None else tasks.unionByName(now)
+    tasks = written(tasks)
+    found = written(_verified(chosen.join(tasks.hint("merge"), ["rep", "h"]).select("task", "side", "k", "copies", "band", "group", "x"), n, percent).where("links = 0"))
+    known = components(found, "a", "b").select(F.col("node").alias("k"), "component")
+    sized = within.join(known, "k").groupBy("cluster", "component").agg(F.count("*").alias("sets"))
+    largest = sized.groupBy("cluster").agg(F.max_by("component", "sets").alias("component"))
+    main = written(within.select("k", "cluster").join(known, "k").join(largest, ["cluster", "component"]).select("k", "cluster").withColumn("main", F.lit(True)))
+    marked = written(parted.join(main, ["k", "cluster"], "left").select(*parted.columns, F.coalesce("main", F.lit(False)).alias("main")))
+    discard(large, within, tasks, main)
+    return marked, found
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, degrees: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, h, n_shingles, k), and of each set k, n_shingles, its class (the smallest key of its sets), the class's least_id, and links.
+
+    Without degrees links is not the number of a set's links, and pairs within what is known to be one class aren't verified.
+    """
     keys = written(set_keys(docs, doc_id, text, n))
     sound = docs.where(F.col(doc_id).isNotNull())
     # a set's text is that of its row with the smallest id
@@ -588,30 +644,34 @@ def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> t
     # every text moves once, at any size: these sets grow with the table, so they aren't sent to all
     texts = sound.select(F.col(doc_id).cast("long").alias("rep"), F.xxhash64(text).alias("h"), F.col(text).alias("x"))
     chosen = written(texts.join(placed.join(whole, "cluster").select("rep", "h").hint("merge"), ["rep", "h"], "left_semi"))
-    parted = written(_parted(placed.join(whole.select("cluster", "small"), "cluster"), whole, chosen, n, percent, common, place))
-    counted = parted.groupBy("cluster", "step").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens"))
+    divided = written(_parted(placed.join(whole.select("cluster", "small"), "cluster"), whole, chosen, n, percent, common, place))
+    parted, early = (divided.withColumn("main", F.lit(False)), None) if degrees else _main_classes(divided, chosen, n, percent)
+    counted = parted.groupBy("cluster", "step", "main").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens"))
     counted = written(counted.withColumn("salts", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int")))
     worth = parted.groupBy("cluster").agg(*totals).where("any_upper = 1 AND all_sets > 1")
-    cells = written(counted.join(worth, "cluster").select("cluster", "step", "salts", small.alias("small")))
-    blocks = cells.where(~F.col("small")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("cluster", "step", "salt")
-    other = blocks.select("cluster", F.col("step").alias("step2"), F.col("salt").alias("salt2"))
+    cells = written(counted.join(worth, "cluster").select("cluster", "step", "main", "salts", small.alias("small")))
+    # the blocks of the main class are numbered behind the others of their step
+    others = cells.where("NOT main").select("cluster", "step", F.col("salts").alias("before"))
+    cells = written(cells.join(others, ["cluster", "step"], "left").withColumn("before", F.when(F.col("main"), F.coalesce("before", F.lit(0))).otherwise(0)))
+    blocks = cells.where(~F.col("small")).withColumn("salt", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("salts") - 1))).select("cluster", "step", "main", "salt")
+    other = blocks.select("cluster", F.col("step").alias("step2"), F.col("main").alias("main2"), F.col("salt").alias("salt2"))
     # a block meets itself and the later blocks that hold sizes near enough, of its own step and the next five
     near = blocks.withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("step2", F.col("step") + F.col("ahead"))
-    near = near.join(other, ["cluster", "step2"]).where("ahead > 0 OR salt2 >= salt")
+    near = near.join(other, ["cluster", "step2"]).where("(ahead > 0 OR salt2 >= salt) AND NOT (main AND main2)")
     near = near.withColumn("task", F.xxhash64("cluster", "step", "salt", "step2", "salt2"))
     alone = F.col("step").eqNullSafe(F.col("step2")) & F.col("salt").eqNullSafe(F.col("salt2"))
     meets = written(near.select("cluster", "step", "salt", "task", F.lit(0).alias("side")).unionByName(near.where(~alone).select("cluster", F.col("step2").alias("step"), F.col("salt2").alias("salt"), "task", F.lit(1).alias("side"))))
-    dealt = parted.join(cells, ["cluster", "step"]).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
+    dealt = parted.join(cells, ["cluster", "step", "main"]).withColumn("salt", (F.col("before") + F.pmod(F.xxhash64("k"), F.col("salts"))).cast("int"))
     own = ["k", "rep", "h", "copies", "size", "band", "group"]
     tasks = dealt.where("small").select(*own, F.col("cluster").alias("task"), F.lit(0).alias("side"))
     tasks = written(tasks.unionByName(dealt.where("not small").join(meets, ["cluster", "step", "salt"]).select(*own, "task", "side")))
     moved = tasks.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
     rounds = max(1, math.ceil(moved / max(tokens, ROUND_TOKENS)))
-    found = []
+    found = [] if early is None else [early]
     for i in range(rounds):
         now = tasks.where(F.pmod("task", F.lit(rounds)) == i).hint("merge")
         found.append(written(_verified(chosen.join(now, ["rep", "h"]).select("task", "side", "k", "copies", "band", "group", "x"), n, percent)))
-    discard(candidates, clusters, placed, whole, chosen, parted, counted, cells, meets, tasks)
+    discard(candidates, clusters, placed, whole, chosen, divided, counted, cells, meets, tasks)
     tables, found = found, reduce(DataFrame.unionByName, found)
     linked = components(found.where("links = 0"), "a", "b").select(F.col("node").alias("k"), "component")
     degrees = found.where("links > 0").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
@@ -633,7 +693,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near duplicates: of each class the row with the smallest id, once. Rows without an id or without words stay."""
-    keys, classes = _classes(docs, doc_id, text, n, percent)
+    keys, classes = _classes(docs, doc_id, text, n, percent, degrees=False)
     own = keys.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.select("k", "n_shingles", "class", "least_id"), ["k", "n_shingles"])
     # of rows with the smallest id but different texts of the class, the first by the texts' hashes
     first = own.where("doc_id = least_id").groupBy("class").agg(F.min("doc_id").alias("id_"), F.min("h").alias("h_")).select("id_", "h_")

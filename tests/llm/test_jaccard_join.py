@@ -125,6 +125,41 @@ def test_links_of_a_large_group_follow_its_sets(spark, monkeypatch):
     assert links[0] <= 3 * 2 * len(rows)  # a set is in two groups
 
 
+def test_classes_of_a_large_group_follow_its_sets(spark, monkeypatch):
+    """Sets that are known to be of one class don't meet in every pair of blocks."""
+    monkeypatch.setattr(jj, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jj, "MANY_BLOCKS", 4, raising=False)
+    moved, verified = [], jj._verified
+    monkeypatch.setattr(jj, "_verified", lambda rows, *a: moved.append(rows.count()) or verified(rows, *a))
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(120)]
+    rows = []
+    for i in range(500):
+        text = list(base)
+        for k in rng.sample(range(120), 1 + 2 * (i % 9 == 0)):  # a few link with few of the others
+            text[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(text[: 120 - i % 3])))
+    rows += [(600 + i, " ".join(f"w{rng.randrange(100_000)}" for _ in range(50))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    kept = sorted(r["doc_id"] for r in jj.first_of_each(df).collect())
+    assert kept == sorted({least for _, _, least, _ in brute(rows, 5, 80)})
+    assert sum(moved) <= 12 * len(rows), moved
+
+
+def test_few_sets_are_sent_to_few_buckets(spark, monkeypatch):
+    """And their entries meet in so many tasks, whatever the number of partitions."""
+    sent, over = [], jj.over_batches
+    monkeypatch.setattr(jj, "over_batches", lambda rows, fn, schema: sent.append(over(rows, fn, schema)) or sent[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        rows = [(i, f"some {i} words of a text {i % 7} that is short") for i in range(400)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+        jj.candidate_links(df, "text", 4, 85, 400, 3200, jj.np.zeros(0, dtype=jj.np.uint64)).count()
+        assert sent[0].where("first IS NOT NULL").count() <= 2 * 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(1)
     words = [f"w{rng.randrange(1000)}x{i % 997}" for i in range(200_000)]
