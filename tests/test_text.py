@@ -64,6 +64,23 @@ def test_exact_term_beats_earlier_prefix(spark):
     assert one(spark, T.find_term("x", F.array(F.lit("zzz"))), "a foobar") == -1
 
 
+def test_terms_are_found_in_normalised_words(spark):
+    terms = F.array(*map(F.lit, ("thing", "qu", "a.c", "", "Big", "کتاب")))
+    texts = {"a TH-I_N\u00adG b": 2, "\U0001f600\U0001f600 thing": 3, "x\u001fqu": 2, "quit, things qu": 13, "quit some things": 10, "abc -- d": 4, "ABig big a.c": -1, "یک كتاب": 3, "": -1, "(thing)": 1}
+    assert {x: one(spark, T.find_term("x", terms), x) for x in texts} == texts
+
+
+def test_a_text_is_normalised_a_few_times_only(spark):
+    """Whatever a snippet needs of it."""
+    plan = spark.createDataFrame([("",)], "x string").select(T.snippet(T.collapse("x"), F.array(F.lit("target"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(x#") == 1
+
+
+def test_white_space_becomes_one_space(spark):
+    text = "\u3000a  b\t\u2003c\u2003d e\u200bf\u2fff g\u00a0\n"
+    assert one(spark, T.collapse("x"), text) == "a b c d e\u200bf\u2fff g"
+
+
 def test_highlight_keeps_marks_inside(spark):
     q = F.lit("كb")
     assert one(spark, T.highlight_query("x", q), "xکَbَ <c>") == "x<b>کَbَ</b> &lt;c&gt;"
