@@ -31,7 +31,8 @@ def entries_from_rows(rows: DataFrame) -> DataFrame:
     made = rows.withColumn("word", collapse("word")).withColumn("c", convert("meaning"))
     order = ["source_id", *(c for c in ("file", "block", "line", "at") if c in rows.columns)]
     kept = made.select(*order, "word", "c.pron", "c.body", kept_phrases(F.col("c.phrases"), F.col("word")).alias("phrases"))
-    return dense_ids(kept, order).select("id", "source_id", "word", "pron", "body", "phrases")
+    # ranges are found by a pass of their own: what is costly is computed before
+    return dense_ids(materialised(kept), order).select("id", "source_id", "word", "pron", "body", "phrases")
 
 
 def kept_phrases(phrases, word):  # noqa: ANN001, ANN201
@@ -45,7 +46,7 @@ def kept_phrases(phrases, word):  # noqa: ANN001, ANN201
 def phrases_of(entries: DataFrame) -> DataFrame:
     """D6: phrase_id, phrase, parent_id; numbered by entry and place."""
     each = entries.select(F.col("id").alias("parent_id"), F.posexplode("phrases").alias("ord", "phrase"))
-    return dense_ids(each, ["parent_id", "ord"], "phrase_id").select("phrase_id", "phrase", "parent_id")
+    return dense_ids(materialised(each), ["parent_id", "ord"], "phrase_id").select("phrase_id", "phrase", "parent_id")
 
 
 def headword_list(df: DataFrame, line: str, display: str, kind: str) -> DataFrame:
