@@ -71,6 +71,27 @@ def search(spark, built, q, exclude=None):
     return [(r["id"], r["total"]) for r in out.orderBy("rank").collect()]
 
 
+def test_counts_of_an_entry_are_made_where_its_tokens_are(spark):
+    """The shuffle moves entries, not their tokens one by one, and nothing is sorted."""
+    bodies = ["aa bb. aa; cc dd ee. x. a-a\u200cb: ZZ zz", "", "x. y", "bb"]
+    e = spark.createDataFrame([*enumerate(bodies), (3, "bb cc dd ee ff"), (None, "gg gg")], "id long, body string")
+    terms = index.term_counts(index.segments(e))
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan and "posexplode" in plan[: plan.index("Exchange")]
+    rows = sorted((tuple(r[c] for c in ("id", "token", "tf", "first_pos", "len", "is_syn")) for r in terms.collect()), key=repr)
+    of_0 = [(0, "aa", 2, 0, 9, True), (0, "ab", 1, 6, 9, True), (0, "bb", 1, 1, 9, True), (0, "cc", 1, 3, 9, False), (0, "dd", 1, 4, 9, False), (0, "ee", 1, 5, 9, False), (0, "zz", 2, 7, 9, True)]
+    assert [r for r in rows if r[0] == 0] == of_0
+    assert [r[1:3] for r in rows if r[0] == 3] == [("bb", 2), ("cc", 1), ("dd", 1), ("ee", 1), ("ff", 1)] and rows[-1][:3] == (None, "gg", 2)
+
+
+def test_stopwords_only_count_the_entries(spark, monkeypatch):
+    heads_, head = [], type(spark.range(1)).head
+    monkeypatch.setattr(type(spark.range(1)), "head", lambda self, *a: heads_.append(self._jdf.queryExecution().optimizedPlan().toString()) or head(self, *a))
+    s = index.segments(spark.createDataFrame([(i, "aa bb") for i in range(3)], "id long, body string"))
+    assert sorted(r["token"] for r in index.stopwords(index.doc_freq(s), index.corpus_stats(s)).collect()) == ["aa", "bb"]
+    assert "translate" not in heads_[0]
+
+
 @pytest.fixture(scope="module")
 def built(spark):
     pad = "filler{0} other{0} more{0} text{0}"
